@@ -2,5 +2,33 @@
 
 from __future__ import annotations
 
+from . import decontam
+from .common import table
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def op10_decontaminate(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op10_decontaminate"] = op10_decontaminate
+_WORDS10 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE["op10_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS10} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS10} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS gram
+      FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(i) WHERE len(w) > 0 AND item_id IS NOT NULL),
+lengths AS (SELECT DISTINCT n FROM g),
+x AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
+      FROM d CROSS JOIN lengths, unnest(range(1, len(w) - n + 2)) AS t(i)),
+hits AS (SELECT doc_id, x.n, i, item_id FROM x JOIN g USING (n, gram)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
