@@ -2,13 +2,91 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, fingerprint, linededup, minhash, secrets
+from pyspark.sql import functions as F
+
 from .common import table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+def op1_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_minhash"] = op1_minhash
+
+
+def op5_secrets(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_secrets"] = op5_secrets
+_ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)"""
+
+
+def _spans_sql(kind: str, place: int, pattern: str, group: int, least: int) -> str:
+    return f"""
+SELECT doc_id, {place} AS place, '{kind}' AS kind, begins, begins + len(m[i]) AS upto
+FROM (SELECT doc_id, m, i, v, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: len(x))), 0)
+             + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS begins
+      FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS m,
+                   regexp_extract_all(text, '{pattern}', {group}) AS v FROM documents WHERE text IS NOT NULL),
+           unnest(range(1, len(m) + 1)) AS t(i))
+WHERE len(v[i]) >= {least}"""
+
+
+ORACLE["op5_secrets"] = f"""
+WITH s AS ({_spans_sql("assign", 0, _ASSIGN, 2, 6)} UNION ALL {_spans_sql("access", 1, "AKIA[A-Z0-9]+", 0, 20)}
+UNION ALL {_spans_sql("hex", 2, "[0-9a-f]{24,}", 0, 24)}),
+a AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+             string_agg(kind || ':' || begins || ':' || upto, ',' ORDER BY begins, place) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN a USING (doc_id)
+"""
+
+
+def op8_lines(spark, sf_dir):
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES["op8_lines"] = op8_lines
+_TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLE["op8_lines"] = f"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+each AS (SELECT doc_id, i - 1 AS pos, trim(parts[i], {_TRIM}) AS line FROM split, unnest(range(1, len(parts) + 1)) AS t(i)),
+worded AS (SELECT *, len(regexp_extract_all(line, '[^\x09-\x0D\x20]+')) AS words FROM each WHERE line <> ''),
+summed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS done FROM worded),
+numbered AS (SELECT * REPLACE (CAST(done AS BIGINT) AS done), CAST(done - words AS BIGINT) AS before FROM summed),
+framed AS (
+  SELECT *, list(line) OVER r AS r_all, sum(words) OVER r AS r_sum, first(pos) OVER r AS r_from, last(pos) OVER r AS r_to,
+         list(line) OVER l AS l_all, sum(words) OVER l AS l_sum, first(pos) OVER l AS l_from, last(pos) OVER l AS l_to
+  FROM numbered
+  WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+         l AS (PARTITION BY doc_id ORDER BY done RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+found AS (SELECT doc_id, r_all AS run, r_from AS lo, r_to AS hi FROM framed WHERE r_sum >= 50
+          UNION ALL SELECT doc_id, l_all, l_from, l_to FROM framed WHERE l_sum - words >= 50),
+ranked AS (SELECT *, min(row(doc_id, lo)) OVER (PARTITION BY run) AS place FROM found),
+gone AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM ranked, unnest(range(lo, hi + 1)) AS t(pos) WHERE row(doc_id, lo) > place GROUP BY doc_id),
+kept AS (SELECT doc_id, len(parts) AS n_lines, coalesce(len(gone), 0) AS n_deleted,
+                array_to_string(list_filter(parts, lambda x, i: gone IS NULL OR NOT list_contains(gone, i - 1)), chr(10)) AS text
+         FROM split LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_deleted AS BIGINT) AS n_deleted,
+       CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, sha256(coalesce(text, '')) AS text_sha256
+FROM kept
+"""
+
+
+def op9_fingerprint(spark, sf_dir):
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_fingerprint"] = op9_fingerprint
+
+
 def op10_decontaminate(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
