@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, linededup, minhash, secrets
+from . import decontam, fingerprint, htmltext, linededup, minhash, neighbours, secrets
 from pyspark.sql import functions as F
 
 from .common import table
@@ -18,6 +18,20 @@ def op1_minhash(spark, sf_dir):
 QUERIES["op1_minhash"] = op1_minhash
 
 
+def op4_html(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op4_html"] = op4_html
+
+
+def op6_toxicity(spark, sf_dir):
+    return neighbours.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op6_toxicity"] = op6_toxicity
+
+
 def op5_secrets(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
