@@ -1,21 +1,23 @@
 """Near duplicates by MinHash with tensored banding, verified on full shingle sets.
 
-A document's set holds the hashes of its distinct shingles of five words. One collection of
-`HALF_BANDS` half bands of `ROWS` minhashes each is computed; table keys are the pairs of
-half bands, so 3 * 32 minhashes serve 496 tables of 6 rows each, which would take 2976. Two sets of likeness s
-meet in a table unless fewer than two half bands agree; for s = 0.75 that has a chance of 7e-7.
+A document's set holds the hashes of its distinct shingles of five words. One collection of `HALF_BANDS` half
+bands of `ROWS` minhashes each is computed; table keys are the pairs of half bands, so 3 * 32 minhashes serve
+496 tables of 6 rows each, which would take 2976. Two sets of likeness s meet in a table unless fewer
+than two half bands agree; for s = 0.75 that has a chance of 7e-7.
 
 The way to whole results without pairs of all members of a group:
 
 1. Documents with one and the same set (by a 128-bit digest) are one class; the classes go on.
-2. A half band that no other class shares is dropped before keys are formed, so only the
-   classes that can meet anything get keys.
-3. Each class proposes one partner: the smallest class in any of its buckets. Proposals are
-   verified on full sets and true links joined into components.
-4. Buckets whose members are all of one component are done. In the others each class
-   proposes the next partner of another component, in some rounds; what buckets are then
-   still open has all its pairs across components verified, dealt out in cells of bounded
-   size. So no link between components is missed, whatever the size of a bucket.
+2. A half band that no other class shares is dropped before keys are formed, so only classes that can
+   meet anything get keys.
+3. In each bucket the classes propose the one that most others meet, and each class keeps the proposal that it
+   shares most buckets with. Proposals whose minhashes agree in fewer than `LEAST_AGREEING` of 96 places are
+   dropped (at a likeness of 0.75 that has a chance of 1e-7); the others are verified on full sets, and true
+   links joined into components.
+4. Buckets whose members are all of one component are done. In the others each class makes a proposal of
+   another component that it hasn't tried, in `ROUNDS` rounds; what buckets are then still open has all its pairs
+   across components verified, dealt out in cells of bounded size, each pair in the first bucket that it shares.
+   So no link between components is missed, whatever the size of a bucket.
 
 Defined results: null and empty texts have empty sets and link with nothing; rows that
 repeat a doc_id are one vertex, linked by the set of any of them; rows with a null doc_id
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, Words, bounded_batches, cut, list_array, mix, ranges, text_chunks
@@ -36,7 +38,8 @@ SHINGLE = 5
 THRESHOLD = 75
 HALF_BANDS = 32
 ROWS = 3
-PROPOSAL_ROUNDS = 2
+LEAST_AGREEING = 48
+ROUNDS = 3
 CELL = 48
 #: Ids of so many documents are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
@@ -44,7 +47,6 @@ MAX_BROADCAST_IDS = 1_000_000
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(0, 2**63, HALF_BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, HALF_BANDS * ROWS, dtype=np.uint64)
-_BAND = _RNG.integers(0, 2**63, HALF_BANDS, dtype=np.uint64)
 
 
 def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -76,26 +78,21 @@ def _sets(w: Words, size: int) -> list[np.ndarray]:
     return [np.unique(h[e - c : e]) for e, c in zip(ends, count)]
 
 
-def half_bands(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A row of half bands for each set, of sets that aren't empty, laid end to end."""
+def minhashes(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """32 bits of each minhash, a row for each set, of sets that aren't empty, laid end to end."""
     begin = np.cumsum(count) - count
-    bands = np.empty((len(count), HALF_BANDS), np.uint64)
-    for band in range(HALF_BANDS):
-        h = np.full(len(count), _BAND[band], np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + mix(np.minimum.reduceat(sets * _MULTIPLY[k] + _ADD[k], begin))
-        bands[:, band] = mix(h)
-    return bands
+    out = np.empty((len(count), HALF_BANDS * ROWS), np.int32)
+    for k in range(HALF_BANDS * ROWS):
+        out[:, k] = mix(np.minimum.reduceat(sets * _MULTIPLY[k] + _ADD[k], begin)).astype(np.uint32).view(np.int32)
+    return out
 
 
 def _signatures(size: int):
     import xxhash
 
-    names = ["doc_id", "n_shingles", "d1", "d2", "bands"]
-
     def run(batches):
         for batch in batches:
-            n_sets, digests, bands, n_bands = [], [], [], []
+            n_sets, digests, signs, n_signs = [], [], [np.zeros(0, np.int32)], []
             for row, end, data, offsets in text_chunks(batch.column(1)):
                 sets = _sets(Words(data, offsets, NOT_SPACE), size)
                 count = np.array([len(s) for s in sets])
@@ -103,22 +100,13 @@ def _signatures(size: int):
                 digests += [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 full = count > 0
                 if full.any():
-                    bands.append(half_bands(np.concatenate(sets), count[full]).ravel())
-                n_bands.append(np.where(full, HALF_BANDS, 0))
-            if not n_sets:
-                continue
-            wide = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            flat = np.concatenate([np.zeros(0, np.uint64), *bands]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.concatenate(n_sets).astype(np.int64)),
-                    pa.array(wide[:, 0].copy()),
-                    pa.array(wide[:, 1].copy()),
-                    list_array(flat, np.concatenate(n_bands), pa.int64()),
-                ],
-                names,
-            )
+                    signs.append(minhashes(np.concatenate(sets), count[full]).ravel())
+                n_signs.append(np.where(full, HALF_BANDS * ROWS, 0))
+            if n_sets:
+                wide = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                columns = [pa.array(c) for c in (np.concatenate(n_sets).astype(np.int64), wide[:, 0].copy(), wide[:, 1].copy())]
+                columns.append(list_array(np.concatenate(signs), np.concatenate(n_signs), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "d1", "d2", "sign"])
 
     return run
 
@@ -176,28 +164,23 @@ def components(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- candidates
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """(key, id): pairs of half bands that are both shared with other classes."""
-    each = classes.select("id", F.explode("bands").alias("band"))
+def _half_bands(sign: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(HALF_BANDS - 1)), lambda i: F.xxhash64(i, *[F.get(sign, i * ROWS + k) for k in range(ROWS)]))
+
+
+def _shared_bands(classes: DataFrame) -> DataFrame:
+    """id and its half bands, sorted, that other classes have too, where there are two of them at least."""
+    each = classes.select("id", F.explode(_half_bands(F.col("sign"))).alias("band"))
     shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    mine = each.join(shared, "band").groupBy("id").agg(F.array_sort(F.collect_list("band")).alias("b"))
-    b = F.col("b")
-    first = F.explode(F.sequence(F.lit(0), F.size("b") - 2)).alias("i")
-    pairs = mine.where(F.size("b") > 1).select("id", "b", first)
-    return pairs.select("id", F.explode(F.expr("transform(slice(b, i + 2, size(b)), x -> xxhash64(b[i], x))")).alias("key"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are alike enough; sized has the sizes of sets."""
-    a = sets.select(F.col("id").alias("u"), F.col("members").alias("su"))
-    b = sets.select(F.col("id").alias("v"), F.col("members").alias("sv"))
-    size_u, size_v = F.size("su"), F.size("sv")
-    near = pairs.join(sized.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u")
-    near = near.join(sized.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
-    near = near.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent).select("u", "v")
-    both = near.join(b, "v").join(a, "u")
-    common = F.size(F.array_intersect("su", "sv"))
-    return both.where(common * 100 >= (size_u + size_v - common) * percent).select("u", "v")
+    mine = each.join(shared, "band").groupBy("id").agg(F.array_sort(F.collect_set("band")).alias("bands"))
+    return mine.where(F.size("bands") > 1)
+
+
+def _buckets(bands: DataFrame) -> DataFrame:
+    """key, id and the bucket's size: pairs of half bands, in buckets of several classes."""
+    first = bands.select("id", "bands", F.explode(F.sequence(F.lit(0), F.size("bands") - 2)).alias("i"))
+    keys = first.select("id", F.explode(F.expr("transform(slice(bands, i + 2, size(bands)), x -> xxhash64(bands[i], x))")).alias("key"))
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
 def _by_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -206,75 +189,106 @@ def _by_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def _labelled(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of keys with their components, in buckets that hold more than one."""
+class _Verifier:
+    """Holds pairs of ids against each other: by minhashes, then by full sets."""
+
+    def __init__(self, docs: DataFrame, signed: DataFrame, percent: int, shingle: int):
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        self.signed, self.percent, self.shingle = signed, percent, shingle
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        signs = self.signed.where("n_shingles > 0")
+        for x in ("u", "v"):
+            pairs = pairs.join(signs.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}")), x)
+        near = pairs.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * self.percent)
+        agreeing = F.size(F.filter(F.zip_with("sign_u", "sign_v", lambda a, b: a == b), lambda same: same))
+        return near.where(agreeing >= LEAST_AGREEING).select("u", "v").distinct()
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose sets are alike enough."""
+        pairs = cut(self.likely(pairs))
+        if pairs.isEmpty():
+            return pairs
+        ids = cut(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
+        sets = cut(_by_ids(self.docs, ids).mapInArrow(_full_sets(self.shingle), "id long, members array<long>"))
+        a = sets.select(F.col("id").alias("u"), F.col("members").alias("set_u"))
+        b = sets.select(F.col("id").alias("v"), F.col("members").alias("set_v"))
+        common = F.size(F.array_intersect("set_u", "set_v"))
+        union = F.size("set_u") + F.size("set_v") - common
+        return pairs.join(b, "v").join(a, "u").where(common * 100 >= union * self.percent).select("u", "v")
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component, with their components."""
     label = components(links)
-    rows = keys.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-    open_keys = open_keys.where("lo <> hi").select("key", "n")
-    return rows.join(open_keys, "key")
-
-
-def _proposals(rows: DataFrame) -> DataFrame:
-    """One partner of another component for each row of an open bucket; of these, each id keeps the smallest."""
-    ends = rows.groupBy("key").agg(F.min(F.struct("component", "id")).alias("lo"), F.max(F.struct("component", "id")).alias("hi"))
-    near = rows.select("key", "id", "component").join(ends, "key")
-    other = F.when(F.col("component") != F.col("lo.component"), F.col("lo.id")).otherwise(F.col("hi.id"))
-    return near.select("id", other.alias("other")).groupBy("id").agg(F.min("other").alias("other"))
-
-
-def _cells(rows: DataFrame) -> DataFrame:
-    """All pairs across components in open buckets, formed in cells of about CELL by CELL rows."""
+    rows = rows.select("key", "id", "n", "weight").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(open_, "key", "left_semi")
+
+
+def _proposals(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """(u, v): for each id the member of another component that leads one of its buckets and that it shares most buckets with."""
+    leads = rows.groupBy("key", "component").agg(F.max(F.struct("weight", "id", "component")).alias("lead"))
+    first = leads.groupBy("key").agg(F.max("lead").alias("first"))
+    second = leads.join(first, "key").where("lead.component <> first.component").groupBy("key").agg(F.max("lead").alias("second"))
+    near = rows.select("key", "id", "component").join(first, "key").join(second, "key", "left")
+    other = F.when(F.col("component") != F.col("first.component"), F.col("first.id")).otherwise(F.col("second.id"))
+    near = near.select("id", other.alias("other")).where("other is not null")
+    near = near.groupBy("id", "other").agg(F.count("*").alias("n"))
+    near = near.select("id", "other", "n", F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v"))
+    if tried is not None:
+        near = near.join(tried, ["u", "v"], "left_anti")
+    best = near.groupBy("id").agg(F.max(F.struct("n", "u", "v")).alias("best"))
+    return best.select("best.u", "best.v").distinct()
+
+
+def _cells(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """All pairs across components in open buckets, formed in cells of about CELL by CELL rows, each pair once."""
     blocks = F.ceil(F.col("n") / CELL).cast("int")
-    mine = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = mine.select("key", "id", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    spread = spread.select("key", "id", "component", "block", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
-    left = spread.where("block = p")
-    right = spread.where("block = q").select("key", "p", "q", F.col("id").alias("id2"), F.col("component").alias("component2"))
-    pairs = left.join(right, ["key", "p", "q"]).where("component <> component2 and (p <> q or id < id2)")
-    return pairs.select(F.greatest("id", "id2").alias("u"), F.least("id", "id2").alias("v")).distinct()
+    mine = rows.join(bands, "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = mine.select("key", "id", "component", "bands", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    spread = spread.select("key", "id", "component", "bands", "block", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
+    left = spread.where("block = p").select("key", "p", "q", F.col("id").alias("id1"), F.col("component").alias("component1"), F.col("bands").alias("bands1"))
+    right = spread.where("block = q").select("key", "p", "q", F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("bands").alias("bands2"))
+    common = F.array_intersect("bands1", "bands2")
+    once = F.col("key") == F.xxhash64(F.get(common, F.lit(0)), F.get(common, F.lit(1)))
+    apart = F.expr("component1 <> component2 and (p <> q or id1 < id2)")
+    pairs = left.join(right, ["key", "p", "q"]).where(apart & once)
+    return pairs.select(F.greatest("id1", "id2").alias("u"), F.least("id1", "id2").alias("v")).distinct()
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (d1, d2) and half bands of every row of docs(doc_id, text)."""
+    """doc_id, n_shingles, digest of the set (d1, d2) and minhashes of every row of docs(doc_id, text)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return rows.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, d1 long, d2 long, sign array<int>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text)."""
     signed = cut(signatures(docs, shingle))
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    keys = cut(_keys(classes))
-    hubs = keys.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    met = cut(keys.join(hubs, "key"))
-    ids = cut(met.select("id").distinct())
-    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = _by_ids(whole, ids).mapInArrow(_full_sets(shingle), "id long, members array<long>")
-    sets = cut(sets)
-    sized = cut(sets.select("id", F.size("members").alias("n")).distinct())
-    first = met.where("id <> v").groupBy("id").agg(F.min("v").alias("v")).select(F.col("id").alias("u"), "v")
-    first = cut(first)
-    links = cut(_verified(first, sets, sized, percent))
-    tried = first
-    keys = met.select("key", "id")
-    for _ in range(PROPOSAL_ROUNDS):
-        rows = cut(_labelled(keys, links))
-        if rows.isEmpty():
-            break
-        keys = rows.select("key", "id")
-        next_ = _proposals(rows).select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
-        next_ = cut(next_.join(tried, ["u", "v"], "left_anti"))
-        tried = tried.unionByName(next_)
-        links = cut(links.unionByName(_verified(next_, sets, sized, percent)))
-    rows = cut(_labelled(keys, links))
+    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("sign").alias("sign"))
+    bands = cut(_shared_bands(classes))
+    met = cut(_buckets(bands))
+    weight = met.groupBy("id").agg(F.sum("n").alias("weight"))
+    rows = met.join(weight, "id").withColumn("component", F.col("id"))
+    verifier = _Verifier(docs, signed, percent, shingle)
+    links = tried = None
+    for turn in range(ROUNDS):
+        if turn:
+            rows = cut(_labelled(rows, links))
+            if rows.isEmpty():
+                break
+        proposed = cut(_proposals(rows, tried))
+        tried = proposed if tried is None else tried.unionByName(proposed)
+        found = verifier.links(proposed)
+        links = cut(found if links is None else links.unionByName(found))
+    rows = cut(_labelled(rows, links))
     if not rows.isEmpty():
-        rest = _cells(rows).join(tried, ["u", "v"], "left_anti")
-        links = cut(links.unionByName(_verified(rest, sets, sized, percent)))
-    label = components(links)
-    named = classes.select("d1", "d2", "id").join(label, "id", "left")
+        rest = _cells(rows, bands).join(tried, ["u", "v"], "left_anti")
+        links = cut(links.unionByName(verifier.links(rest)))
+    named = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")).join(components(links), "id", "left")
     named = named.select("d1", "d2", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
