@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, htmltext, linededup, minhash, neighbours, secrets
+from . import decontam, fingerprint, htmltext, linededup, minhash, neighbours, pieces, secrets, tokencount
 from pyspark.sql import functions as F
 
 from .common import table
@@ -18,6 +18,24 @@ def op1_minhash(spark, sf_dir):
 QUERIES["op1_minhash"] = op1_minhash
 
 
+def op2_pieces(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, digest=True)
+
+
+QUERIES["op2_pieces"] = op2_pieces
+
+
+def op3_tokens(spark, sf_dir):
+    counted = tokencount.count_tokens(table(spark, sf_dir, "documents"))
+    most = F.coalesce(F.array_max("section_tokens"), F.lit(0)).alias("most_in_section")
+    listed = F.sha2(F.array_join(F.transform("section_tokens", lambda n: n.cast("string")), ","), 256).alias("section_tokens_sha256")
+    return counted.select("doc_id", "n_tokens", F.size("section_tokens").cast("long").alias("n_sections"), "n_outside", "n_crossing", most, listed)
+
+
+QUERIES["op3_tokens"] = op3_tokens
+
+
 def op4_html(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
