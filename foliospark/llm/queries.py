@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, htmltext, linededup, minhash, neighbours, pieces, secrets, tokencount
+from . import decontam, fingerprint, htmltext, linededup, minhash, neighbours, pieces, quality, secrets, tokencount
 from pyspark.sql import functions as F
 
 from .common import table
@@ -80,6 +80,13 @@ FROM documents LEFT JOIN a USING (doc_id)
 """
 
 
+def op7_quality(spark, sf_dir):
+    return quality.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op7_quality"] = op7_quality
+
+
 def op8_lines(spark, sf_dir):
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
