@@ -1,0 +1,176 @@
+"""One call for each thing a user does: submit, status, resume, clean, process, enhance. Jobs are rows of a log under a folder.
+
+    python -m foliospark.facade submit --root DIR FILE...
+"""
+
+from __future__ import annotations
+
+import argparse
+import json
+import sys
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .errors import FolioError
+from .functions import text as X
+from .operators import archive, batching, enrich, merge, planning, state
+from .sources import files, providers, settings, sinks
+from .streaming.fold import poll
+
+
+def default_options(**changes):
+    values = {"model_version": "vlm", "is_ocr": False, "language": "ch", "enable_table": True, "enable_formula": True, "extra_formats": [], "office_page_ranges": None} | changes
+    o = F.struct(*[(F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)).alias(k) for k, v in values.items()])
+    return o.cast("struct<model_version:string,is_ocr:boolean,language:string,enable_table:boolean,enable_formula:boolean,extra_formats:array<string>,office_page_ranges:string>")
+
+
+class Engine:
+    """Jobs over a folder that all executors share, and a provider."""
+
+    def __init__(self, spark: SparkSession, root: str, provider: providers.ExtractionProvider, max_bytes: int = planning.MAX_UPLOAD_BYTES):
+        self.spark, self.root, self.provider, self.max_bytes = spark, root.rstrip("/"), provider, max_bytes
+
+    def _next(self) -> int:
+        try:
+            return (self.spark.read.parquet(f"{self.root}/parts").agg(F.max("seq")).first()[0] or 0) + 1
+        except Exception:  # noqa: BLE001  no log yet
+            return 1
+
+    def parts(self) -> DataFrame:
+        return sinks.current(self.spark, f"{self.root}/parts", ["job_id", "part_index"])
+
+    def _log(self, parts: DataFrame) -> None:
+        sinks.append_events(parts, f"{self.root}/parts", F.lit(self._next()))
+
+    def plan(self, path: str, **options) -> DataFrame:
+        """Parts of every file under path; files that can't be planned come back as rejected sources instead."""
+        found = files.sources(self.spark, path, content=True)
+        counted = files.with_sha256(found).join(files.page_counts(found).drop("error"), "path")
+        routed = planning.route(counted.drop("content"), self.max_bytes)
+        named = routed.withColumn("job_id", X.job_id(F.col("path"), F.col("source_sha256"))).withColumn("options", default_options(**options))
+        return named.withColumn("office_page_ranges", F.col("options.office_page_ranges"))
+
+    def submit(self, path: str, **options) -> DataFrame:
+        """Plans and sends all files; a file or batch that fails leaves the others alone. Rows: job_id, state."""
+        parts = planning.plan_parts(self.plan(path, **options))
+        blank = {c: F.lit(None).cast("string") for c in ("batch_id", "progress", "full_zip_url", "error_code", "error_message", "trace_id", "full_md")}
+        self._log(self._sent(batching.batches(parts.withColumns(blank), "job_id", ["part_index"])))
+        return state.fold_jobs(self.parts())
+
+    def _sent(self, parts: DataFrame) -> DataFrame:
+        asked = providers.called(batching.requests(parts), "request", lambda r: providers.checked(self.provider.request_uploads(r)), "answer")
+        answer = F.from_json("answer", "trace_id string, data struct<batch_id:string,file_urls:array<string>>")
+        asked = asked.select("job_id", "batch_no", F.col("error_message").alias("refused"), answer.alias("a"))
+        both = parts.join(asked, ["job_id", "batch_no"])
+        n = F.count("*").over(_batch_window())
+        short = F.when(F.size("a.data.file_urls") != n, F.lit("as many upload addresses as parts were expected"))
+        both = both.withColumn("error_message", F.coalesce("refused", short))
+        out = state.submitted(both, F.col("a.data.batch_id"), F.col("error_message").isNotNull())
+        return out.withColumn("trace_id", F.col("a.trace_id")).drop("a", "refused", "batch_no")
+
+    def status(self, job_id: str | None = None, refresh: bool = True) -> DataFrame:
+        """States of jobs, after asking for those that are under way and taking over their results."""
+        if refresh:
+            parts = self.parts()
+            due = parts.where(state.needs_refresh())
+            said = providers.status_rows(due, self.provider)
+            now = state.reconcile(due, said).drop("matched_by")
+            ready = providers.called(now, "full_zip_url", lambda u: self.provider.download(u).decode() if u else None, "got")
+            done = F.col("state") == "done"
+            now = ready.drop("error_code", "error_message").withColumn("full_md", F.when(done, F.coalesce("got", "full_md"))).drop("got")
+            self._log(now.withColumns({"error_code": F.lit(None).cast("string"), "error_message": F.lit(None).cast("string"), "updated_at": F.current_timestamp()}))
+        parts = self.parts()
+        return state.fold_jobs(parts if job_id is None else parts.where(F.col("job_id") == job_id))
+
+    def wait(self, job_id: str, timeout: float = 1800, interval: float = 3) -> dict:
+        found, late = poll(lambda: self.status(job_id).first()["state"], timeout, interval)
+        return {"job_id": job_id, "state": found, "timed_out": late}
+
+    def resume(self, job_id: str) -> DataFrame:
+        """Sends the failed parts again, and only those."""
+        failed = state.resume(self.parts().where(F.col("job_id") == job_id))
+        self._log(self._sent(failed))
+        return self.status(job_id, refresh=False)
+
+    def clean(self, job_id: str) -> None:
+        sinks.remove(self.spark, f"{self.root}/parts", job_id, self._next())
+
+    def merged(self) -> DataFrame:
+        """job_id and full_md of all jobs whose parts are there."""
+        return merge.merge_parts(self.parts()).where("mergeable")
+
+    def process(self, path: str, **options) -> DataFrame:
+        self.submit(path, **options)
+        self.status()
+        return self.merged()
+
+    def public(self) -> DataFrame:
+        return merge.public(self.parts())
+
+
+def _batch_window():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("job_id", "batch_no")
+
+
+def enhance(docs: DataFrame, images: DataFrame, provider: providers.EnrichmentProvider, prompt: str, key: str = "job_id") -> DataFrame:
+    """key, enhanced_md and enhance_error of docs(key, full_md) and images(key, file, content)."""
+    asked = docs.where("full_md is not null").select(key, X.prompt(prompt, F.col("full_md")).alias("prompt"))
+    said = providers.called(asked, "prompt", provider.analyze_text)
+    parsed = X.tolerant_json(F.col("answer"))
+    from .schema import TEXT_SEMANTICS
+
+    semantics = said.select(key, F.from_json(F.to_json(parsed), TEXT_SEMANTICS).alias("semantics"), F.coalesce("error_message", F.when(parsed.isNull(), "the answer is no JSON")).alias("error"))
+    shown = providers.called(images.select(key, "file", X.data_url(F.col("file"), F.col("content")).alias("url")), "url", provider.analyze_image)
+    value = X.tolerant_json(F.col("answer"))
+    rows = shown.select(key, "file", F.try_variant_get(value, "$.type", "string").alias("type"), F.try_variant_get(value, "$.summary", "string").alias("summary"), F.coalesce("error_message", F.when(value.isNull(), "the answer is no JSON")).alias("error"))
+    return enrich.enhance(docs, semantics, rows, key)
+
+
+def extracted(archives: DataFrame) -> DataFrame:
+    """archive, full_md and error of files(path, content) that are result archives; unsafe ones aren't read."""
+    members = archive.safe_members(archive.read_members(archives).where("error is null"))
+    return merge.only_text(members, ["archive"])
+
+
+def main(argv: list[str] | None = None) -> int:
+    parser = argparse.ArgumentParser("foliospark")
+    commands = parser.add_subparsers(dest="command", required=True)
+    for name in ("process", "submit", "status", "resume", "clean"):
+        c = commands.add_parser(name)
+        c.add_argument("--root", required=True)
+        c.add_argument("what", nargs="*" if name == "status" else "+")
+        c.add_argument("--no-refresh", action="store_true")
+        c.add_argument("--ocr", action="store_true")
+        c.add_argument("--no-table", action="store_true")
+        c.add_argument("--no-formula", action="store_true")
+        c.add_argument("--language", default="ch")
+    commands.add_parser("config")
+    args = parser.parse_args(argv)
+    try:
+        if args.command == "config":
+            print(json.dumps(settings.status()))
+            return 0
+        engine = Engine(SparkSession.builder.getOrCreate(), args.root, providers.StubExtraction())
+        options = {"is_ocr": args.ocr, "enable_table": not args.no_table, "enable_formula": not args.no_formula, "language": args.language}
+        for what in args.what or [None]:
+            if args.command in ("process", "submit"):
+                rows = getattr(engine, args.command)(what, **options)
+            elif args.command == "status":
+                rows = engine.status(what, not args.no_refresh)
+            elif args.command == "resume":
+                rows = engine.resume(what)
+            else:
+                rows = engine.clean(what)
+            for line in rows.toJSON().toLocalIterator() if rows is not None else ():
+                print(line)
+        return 0
+    except FolioError as error:
+        print(json.dumps({"error": str(error)}), file=sys.stderr)
+        return 1
+
+
+if __name__ == "__main__":
+    sys.exit(main())
