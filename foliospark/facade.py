@@ -59,7 +59,8 @@ class Engine:
         return state.fold_jobs(self.parts())
 
     def _sent(self, parts: DataFrame) -> DataFrame:
-        asked = providers.called(batching.requests(parts), "request", lambda r: providers.checked(self.provider.request_uploads(r)), "answer")
+        provider = self.provider
+        asked = providers.called(batching.requests(parts), "request", lambda r: providers.checked(provider.request_uploads(r)), "answer")
         answer = F.from_json("answer", "trace_id string, data struct<batch_id:string,file_urls:array<string>>")
         asked = asked.select("job_id", "batch_no", F.col("error_message").alias("refused"), answer.alias("a"))
         both = parts.join(asked, ["job_id", "batch_no"])
@@ -76,10 +77,12 @@ class Engine:
             due = parts.where(state.needs_refresh())
             said = providers.status_rows(due, self.provider)
             now = state.reconcile(due, said).drop("matched_by")
-            ready = providers.called(now, "full_zip_url", lambda u: self.provider.download(u).decode() if u else None, "got")
+            provider = self.provider
+            now = now.drop("error_code", "error_message")
+            ready = providers.called(now, "full_zip_url", lambda u: provider.download(u).decode() if u else None, "got")
             done = F.col("state") == "done"
-            now = ready.drop("error_code", "error_message").withColumn("full_md", F.when(done, F.coalesce("got", "full_md"))).drop("got")
-            self._log(now.withColumns({"error_code": F.lit(None).cast("string"), "error_message": F.lit(None).cast("string"), "updated_at": F.current_timestamp()}))
+            now = ready.withColumn("full_md", F.when(done, F.coalesce("got", "full_md"))).drop("got")
+            self._log(now)
         parts = self.parts()
         return state.fold_jobs(parts if job_id is None else parts.where(F.col("job_id") == job_id))
 
