@@ -17,8 +17,8 @@ combines before its shuffle, and finds its way back by an equi-join that may be
 Defined results: null text stays null, empty text empty; rows that are equal in doc_id and
 text count as one document and stay alike; rows that share a doc_id with different texts are
 documents in the order of their hashes; null ids come first. Lines are compared without the
-white space at their ends; blank lines neither match nor go. All columns stay; n_chars,
-where there is one, is counted anew. No row is dropped.
+white space at their ends; blank lines don't match, and go only inside a run. All columns stay, but
+n_lines and n_deleted are replaced; n_chars, where there is one, is counted anew. No row is dropped.
 """
 
 from __future__ import annotations
@@ -92,18 +92,15 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later repeated runs deleted from text, and the columns n_lines and n_deleted."""
     gone = repeated(docs, min_words).select(F.col("line_doc").alias("gone_doc"), F.col("line_text").alias("gone_text"), "gone")
-    mine = _rows(docs)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    mine = _rows(docs.select("doc_id", "text", F.struct(*[c for c in names if c != "text"]).alias("doc")))
     both = mine.join(gone, F.col("line_doc").eqNullSafe(F.col("gone_doc")) & (F.col("line_text") == F.col("gone_text")), "left")
     parts = F.split(F.col("text").cast("string"), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
-    # blank lines inside a deleted run are in it, others are not
-    text = F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n")
-    changes = {
-        "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(text),
-        "n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"),
-        "n_deleted": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-    }
-    out = both.withColumns(changes)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, "n_lines", "n_deleted")
+    cleaned = F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n")
+    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(cleaned)
+    n_lines = F.coalesce(F.size(parts), F.lit(0)).cast("long")
+    both = both.select("doc", cleaned.alias("cleaned"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned")}
+    columns = [new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"doc.`{c}`") for c in names]
+    return both.select(*columns, "n_lines", "n_deleted")

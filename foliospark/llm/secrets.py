@@ -110,7 +110,8 @@ def trigram_query(pattern: str) -> list[set[frozenset[str]]]:
             now = {a + b for a, b in product(now, more)}
     stretches.append(now)
     usable = [{s.lower() for s in x} for x in stretches if all(len(s) >= 3 for s in x)]
-    return [{frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in x} for x in usable]
+    each = [{frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in x} for x in usable]
+    return [{a for a in x if not any(b < a for b in x)} for x in each]  # a OR (a AND b) is a
 
 
 def _stretches_of(nodes):
