@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 19
 BATCH_ROWS = "1000"
+ROWS_TO_A_TASK = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """df from the checkpoint folder in as few partitions as its rows need, and their number.
+
+    For narrow rows: what a task writes of them for a shuffle shouldn't be thousands of files of a few bytes.
+    """
+    out = cut(df)
+    n = out.count()
+    return out.coalesce(max(1, -(-n // ROWS_TO_A_TASK))), n
+
+
 # ---------------------------------------------------------------- bytes, words, hashes
 
 _RNG = np.random.default_rng(20240229)

@@ -10,14 +10,14 @@ The way to whole results without pairs of all members of a group:
 1. Documents with one and the same set (by a 128-bit digest) are one class; the classes go on.
 2. A half band that no other class shares is dropped before keys are formed, so only classes that can
    meet anything get keys.
-3. In each bucket the classes propose the one that most others meet, and each class keeps the proposal that it
-   shares most buckets with. Proposals whose minhashes agree in fewer than `LEAST_AGREEING` of 96 places are
-   dropped (at a likeness of 0.75 that has a chance of 1e-7); the others are verified on full sets, and true
-   links joined into components.
-4. Buckets whose members are all of one component are done. In the others each class makes a proposal of
-   another component that it hasn't tried, in `ROUNDS` rounds; what buckets are then still open has all its pairs
-   across components verified, dealt out in cells of bounded size, each pair in the first bucket that it shares.
-   So no link between components is missed, whatever the size of a bucket.
+3. In each bucket one class leads, the one that most others meet, and each class proposes the leader that it
+   shares most buckets with. Proposals are verified and true links joined into components.
+4. Buckets whose members are all of one component are done. The classes in the others are held against each
+   other, pair by pair of different components that share two half bands, in cells of bounded size. So no link
+   between components is missed, whatever the size of a bucket.
+
+Pairs are verified in two exact steps. A bitmap of each set, in which a member flips one of 2048 bits, bounds the
+difference of two sets from below and drops most pairs that aren't links; on the rest full sets are compared.
 
 Defined results: null and empty texts have empty sets and link with nothing; rows that
 repeat a doc_id are one vertex, linked by the set of any of them; rows with a null doc_id
@@ -32,15 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, bounded_batches, cut, list_array, mix, ranges, text_chunks
+from .common import NOT_SPACE, ROWS_TO_A_TASK, Words, bounded_batches, cut, list_array, mix, ranges, settled, text_chunks
 
 SHINGLE = 5
 THRESHOLD = 75
 HALF_BANDS = 32
 ROWS = 3
-LEAST_AGREEING = 48
-ROUNDS = 3
-CELL = 48
+BITMAP_WORDS = 32
+CELL = 256
 #: Ids of so many documents are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -78,13 +77,24 @@ def _sets(w: Words, size: int) -> list[np.ndarray]:
     return [np.unique(h[e - c : e]) for e, c in zip(ends, count)]
 
 
-def minhashes(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """32 bits of each minhash, a row for each set, of sets that aren't empty, laid end to end."""
+def half_bands(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A row of half bands for each set, of sets that aren't empty, laid end to end."""
     begin = np.cumsum(count) - count
-    out = np.empty((len(count), HALF_BANDS * ROWS), np.int32)
-    for k in range(HALF_BANDS * ROWS):
-        out[:, k] = mix(np.minimum.reduceat(sets * _MULTIPLY[k] + _ADD[k], begin)).astype(np.uint32).view(np.int32)
-    return out
+    bands = np.empty((len(count), HALF_BANDS), np.uint64)
+    for band in range(HALF_BANDS):
+        h = np.full(len(count), band + 1, np.uint64)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + mix(np.minimum.reduceat(sets * _MULTIPLY[k] + _ADD[k], begin))
+        bands[:, band] = mix(h)
+    return bands
+
+
+def bitmaps(sets: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A row of words for each set: the bits that its members flip, each one."""
+    bits = BITMAP_WORDS * 64
+    at = (mix(sets) >> np.uint64(17)) % np.uint64(bits)
+    flips = np.bincount(np.repeat(np.arange(len(count)), count) * bits + at.astype(np.int64), minlength=len(count) * bits)
+    return np.packbits(flips.astype(np.uint8) & 1, bitorder="little").view(np.uint64).reshape(len(count), BITMAP_WORDS)
 
 
 def _signatures(size: int):
@@ -92,7 +102,7 @@ def _signatures(size: int):
 
     def run(batches):
         for batch in batches:
-            n_sets, digests, signs, n_signs = [], [], [np.zeros(0, np.int32)], []
+            n_sets, digests, bands, maps, n_full = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
             for row, end, data, offsets in text_chunks(batch.column(1)):
                 sets = _sets(Words(data, offsets, NOT_SPACE), size)
                 count = np.array([len(s) for s in sets])
@@ -100,13 +110,16 @@ def _signatures(size: int):
                 digests += [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 full = count > 0
                 if full.any():
-                    signs.append(minhashes(np.concatenate(sets), count[full]).ravel())
-                n_signs.append(np.where(full, HALF_BANDS * ROWS, 0))
+                    flat = np.concatenate(sets)
+                    bands.append(half_bands(flat, count[full]).ravel())
+                    maps.append(bitmaps(flat, count[full]).ravel())
+                n_full.append(full)
             if n_sets:
                 wide = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                full = np.concatenate(n_full)
                 columns = [pa.array(c) for c in (np.concatenate(n_sets).astype(np.int64), wide[:, 0].copy(), wide[:, 1].copy())]
-                columns.append(list_array(np.concatenate(signs), np.concatenate(n_signs), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "d1", "d2", "sign"])
+                columns += [list_array(np.concatenate(x).view(np.int64), full * n, pa.int64()) for x, n in ((bands, HALF_BANDS), (maps, BITMAP_WORDS))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_shingles", "d1", "d2", "bands", "bitmap"])
 
     return run
 
@@ -129,9 +142,8 @@ def _full_sets(size: int):
 # ---------------------------------------------------------------- components
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _checksum(edges: DataFrame) -> int:
+    return edges.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -141,36 +153,31 @@ def components(links: DataFrame) -> DataFrame:
     count and a checksum reaches the driver. Ids that are the smallest of their component,
     or have no links, don't come back.
     """
-    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _digest(edges)
-    while before[0]:
+    edges, n = settled(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
+    while n:
+        tasks = -(-2 * n // ROWS_TO_A_TASK)
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut(small)
-        now = _digest(edges)
+        small = small.unionByName(near.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct()
+        edges, n = settled(small)
+        now = n, _checksum(edges)
         if now == before:
             break
         before = now
-    found = edges.groupBy("u").agg(F.min("v").alias("component"))
-    return found.select(F.col("u").alias("id"), "component")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 # ---------------------------------------------------------------- candidates
 
 
-def _half_bands(sign: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(HALF_BANDS - 1)), lambda i: F.xxhash64(i, *[F.get(sign, i * ROWS + k) for k in range(ROWS)]))
-
-
 def _shared_bands(classes: DataFrame) -> DataFrame:
     """id and its half bands, sorted, that other classes have too, where there are two of them at least."""
-    each = classes.select("id", F.explode(_half_bands(F.col("sign"))).alias("band"))
+    each = classes.select("id", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     mine = each.join(shared, "band").groupBy("id").agg(F.array_sort(F.collect_set("band")).alias("bands"))
     return mine.where(F.size("bands") > 1)
@@ -183,34 +190,35 @@ def _buckets(bands: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
 
 
-def _by_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids; ids are broadcast if they are few enough."""
-    few = ids.count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+def _may_be_alike(n_u: Column, n_v: Column, map_u: Column, map_v: Column, percent: int) -> Column:
+    """False only for sets that can't be alike enough: by their sizes, and by bits that only one of them flips."""
+    sizes = F.least(n_u, n_v) * 100 >= F.greatest(n_u, n_v) * percent
+    apart = F.aggregate(F.zip_with(map_u, map_v, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    return sizes & (apart * (100 + percent) <= (n_u + n_v) * (100 - percent))
 
 
 class _Verifier:
-    """Holds pairs of ids against each other: by minhashes, then by full sets."""
+    """Holds pairs of ids against each other: by bitmaps, then by full sets."""
 
     def __init__(self, docs: DataFrame, signed: DataFrame, percent: int, shingle: int):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        self.signed, self.percent, self.shingle = signed, percent, shingle
+        self.signed = signed.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles", "bitmap")
+        self.percent, self.shingle = percent, shingle
 
     def likely(self, pairs: DataFrame) -> DataFrame:
-        signs = self.signed.where("n_shingles > 0")
         for x in ("u", "v"):
-            pairs = pairs.join(signs.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}")), x)
-        near = pairs.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * self.percent)
-        agreeing = F.size(F.filter(F.zip_with("sign_u", "sign_v", lambda a, b: a == b), lambda same: same))
-        return near.where(agreeing >= LEAST_AGREEING).select("u", "v").distinct()
+            pairs = pairs.join(self.signed.toDF(x, f"n_{x}", f"map_{x}"), x)
+        alike = _may_be_alike(*[F.col(c) for c in ("n_u", "n_v", "map_u", "map_v")], self.percent)
+        return pairs.where(alike).select("u", "v").distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) whose sets are alike enough."""
-        pairs = cut(self.likely(pairs))
-        if pairs.isEmpty():
+        pairs, n = settled(pairs)
+        if not n:
             return pairs
-        ids = cut(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
-        sets = cut(_by_ids(self.docs, ids).mapInArrow(_full_sets(self.shingle), "id long, members array<long>"))
+        ids, n = settled(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
+        ids = F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids
+        sets = cut(self.docs.join(ids, "id", "left_semi").mapInArrow(_full_sets(self.shingle), "id long, members array<long>"))
         a = sets.select(F.col("id").alias("u"), F.col("members").alias("set_u"))
         b = sets.select(F.col("id").alias("v"), F.col("members").alias("set_v"))
         common = F.size(F.array_intersect("set_u", "set_v"))
@@ -218,77 +226,65 @@ class _Verifier:
         return pairs.join(b, "v").join(a, "u").where(common * 100 >= union * self.percent).select("u", "v")
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component, with their components."""
-    label = components(links)
-    rows = rows.select("key", "id", "n", "weight").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return rows.join(open_, "key", "left_semi")
+def _proposals(buckets: DataFrame) -> DataFrame:
+    """(u, v): each id with the leader that it shares most buckets with."""
+    weight = buckets.groupBy("id").agg(F.sum("n").alias("weight"))
+    rows = buckets.select("key", "id").join(weight, "id")
+    leads = rows.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("lead"))
+    near = buckets.select("key", "id").join(leads, "key").select("id", F.col("lead.id").alias("other")).where("id <> other")
+    near = near.groupBy("id", "other").agg(F.count("*").alias("n"))
+    best = near.groupBy("id").agg(F.max(F.struct("n", "other")).alias("best"))
+    return best.select(F.greatest("id", "best.other").alias("u"), F.least("id", "best.other").alias("v")).distinct()
 
 
-def _proposals(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """(u, v): for each id the member of another component that leads one of its buckets and that it shares most buckets with."""
-    leads = rows.groupBy("key", "component").agg(F.max(F.struct("weight", "id", "component")).alias("lead"))
-    first = leads.groupBy("key").agg(F.max("lead").alias("first"))
-    second = leads.join(first, "key").where("lead.component <> first.component").groupBy("key").agg(F.max("lead").alias("second"))
-    near = rows.select("key", "id", "component").join(first, "key").join(second, "key", "left")
-    other = F.when(F.col("component") != F.col("first.component"), F.col("first.id")).otherwise(F.col("second.id"))
-    near = near.select("id", other.alias("other")).where("other is not null")
-    near = near.groupBy("id", "other").agg(F.count("*").alias("n"))
-    near = near.select("id", "other", "n", F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v"))
-    if tried is not None:
-        near = near.join(tried, ["u", "v"], "left_anti")
-    best = near.groupBy("id").agg(F.max(F.struct("n", "u", "v")).alias("best"))
-    return best.select("best.u", "best.v").distinct()
-
-
-def _cells(rows: DataFrame, bands: DataFrame) -> DataFrame:
-    """All pairs across components in open buckets, formed in cells of about CELL by CELL rows, each pair once."""
-    blocks = F.ceil(F.col("n") / CELL).cast("int")
-    mine = rows.join(bands, "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = mine.select("key", "id", "component", "bands", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    spread = spread.select("key", "id", "component", "bands", "block", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"))
-    left = spread.where("block = p").select("key", "p", "q", F.col("id").alias("id1"), F.col("component").alias("component1"), F.col("bands").alias("bands1"))
-    right = spread.where("block = q").select("key", "p", "q", F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("bands").alias("bands2"))
-    common = F.array_intersect("bands1", "bands2")
-    once = F.col("key") == F.xxhash64(F.get(common, F.lit(0)), F.get(common, F.lit(1)))
-    apart = F.expr("component1 <> component2 and (p <> q or id1 < id2)")
-    pairs = left.join(right, ["key", "p", "q"]).where(apart & once)
-    return pairs.select(F.greatest("id1", "id2").alias("u"), F.least("id1", "id2").alias("v")).distinct()
+def _open(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """id and component of the members of buckets that hold more than one component."""
+    rows = buckets.select("key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(open_, "key", "left_semi").select("id", "component").distinct()
+
+
+def _cells(members: DataFrame, bands: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share two half bands and may be alike, formed in cells of about CELL by CELL rows, each pair once."""
+    each = members.join(bands, "id").join(signed, "id")
+    rows = each.select("*", F.explode("bands").alias("band"))
+    size = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(size, "band").withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.withColumns({"p": F.least("block", "with"), "q": F.greatest("block", "with")})
+    fields = ("id", "component", "bands", "n_shingles", "bitmap")
+    left, right = (spread.where(f"block = {x}").select("band", "p", "q", *[F.col(c).alias(f"{c}_{y}") for c in fields]) for x, y in (("p", "u"), ("q", "v")))
+    apart = F.expr("component_u <> component_v and (p <> q or id_u < id_v)")
+    alike = _may_be_alike(*[F.col(f"{c}_{y}") for c in ("n_shingles", "bitmap") for y in ("u", "v")], percent)
+    common = F.array_intersect("bands_u", "bands_v")
+    once = (F.col("band") == F.get(common, F.lit(0))) & (F.size(common) > 1)
+    pairs = left.join(right, ["band", "p", "q"]).where(apart & alike & once)
+    return pairs.select(F.greatest("id_u", "id_v").alias("u"), F.least("id_u", "id_v").alias("v")).distinct()
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (d1, d2) and minhashes of every row of docs(doc_id, text)."""
+    """doc_id, n_shingles, digest of the set (d1, d2), half bands and bitmap of every row of docs(doc_id, text)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, d1 long, d2 long, sign array<int>")
+    return rows.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bitmap array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text)."""
     signed = cut(signatures(docs, shingle))
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("sign").alias("sign"))
+    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     bands = cut(_shared_bands(classes))
-    met = cut(_buckets(bands))
-    weight = met.groupBy("id").agg(F.sum("n").alias("weight"))
-    rows = met.join(weight, "id").withColumn("component", F.col("id"))
+    buckets, _ = settled(_buckets(bands))
     verifier = _Verifier(docs, signed, percent, shingle)
-    links = tried = None
-    for turn in range(ROUNDS):
-        if turn:
-            rows = cut(_labelled(rows, links))
-            if rows.isEmpty():
-                break
-        proposed = cut(_proposals(rows, tried))
-        tried = proposed if tried is None else tried.unionByName(proposed)
-        found = verifier.links(proposed)
-        links = cut(found if links is None else links.unionByName(found))
-    rows = cut(_labelled(rows, links))
-    if not rows.isEmpty():
-        rest = _cells(rows, bands).join(tried, ["u", "v"], "left_anti")
-        links = cut(links.unionByName(verifier.links(rest)))
-    named = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")).join(components(links), "id", "left")
+    links = verifier.links(verifier.likely(_proposals(buckets)))
+    label = components(links)
+    members, n = settled(_open(buckets, label))
+    if n:
+        more = verifier.links(_cells(members, bands, verifier.signed, percent))
+        label = components(label.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
+    named = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")).join(label, "id", "left")
     named = named.select("d1", "d2", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()

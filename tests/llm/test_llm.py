@@ -98,8 +98,7 @@ def test_minhash(spark):
 
 
 def test_minhash_open_buckets(spark, monkeypatch):
-    """All pairs of what rounds of proposals leave open, in several cells."""
-    monkeypatch.setattr(minhash, "ROUNDS", 1)
+    """All pairs of what proposals leave open, in several cells."""
     monkeypatch.setattr(minhash, "CELL", 3)
     base = prose(120, 5)
     texts = [edited(base, k % 5 + 1, k) for k in range(30)]
