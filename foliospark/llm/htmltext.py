@@ -45,9 +45,9 @@ _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs footer cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations comment comments disqus respond reply replies toolbar pagination pager "
-    "widget copyright paywall skiplink".split()
+    "widget copyright paywall skiplink alert banner commentlist masthead".split()
 )
-_WORDS_OUTSIDE = frozenset("header masthead banner search legal topbar".split())
+_WORDS_OUTSIDE = frozenset("header search legal topbar logo".split())
 #: Closed by the start of one of the same set, up to the nearest element of the second set.
 _CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
