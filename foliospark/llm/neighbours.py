@@ -4,8 +4,8 @@ Features are words and their first 4, 5 and 6 bytes (A-Z lower-cased), as 64-bit
 bounded sample of `EXAMPLES` of each label is taken, the smallest by hash of the id. Of the sample's features
 those go on whose chi-square with the label is at least `CHI_SQUARE`, `VOCABULARY` of them at most. Inverse
 document frequencies count all documents. The examples' vectors make an inverted index in blocks of `BLOCK`
-examples with the largest weight of each feature in each block; blocks are visited in the order of their
-bounds, and a search ends when no block left can change the nearest `NEIGHBOURS`, so it is exact.
+examples with the largest weight of each feature in each block. A search looks into the `HEAD` blocks with the
+largest bounds first, and then into those that can still change the nearest `NEIGHBOURS`, so it is exact.
 
 The votes of the nearest, for and against, are weighted by cosine: a far example counts little, and a text
 that shares one feature with every example isn't near any. They become a score by isotonic regression over the examples, each
@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER_ONLY, Words, _BYTE, _power_tables, bounded_batches, cut, list_array, mix, text_chunks
+from .common import ALNUM_LOWER_ONLY, Words, _BYTE, _power_tables, bounded_batches, cut, list_array, mix, ranges, text_chunks
 
 EXAMPLES = 2_000
 VOCABULARY = 4_096
 CHI_SQUARE = 30.0
 NEIGHBOURS = 15
 BLOCK = 64
+HEAD = 4
 PREFIXES = (4, 5, 6)
 
 
@@ -153,25 +154,32 @@ class Index:
     def nearest(self, f: np.ndarray, n: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest cosines above 0, ties to the smaller place, and the cosines."""
         q = self.vector(f, n)
-        blocks = self.most.shape[1]
         bound = q @ self.most[f]
-        best = np.zeros(0, np.int64)
-        cosine = np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < cosine[-1] - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for x, at in zip(q.tolist(), (f * blocks + b).tolist()):
-                a, z = self.edge[at], self.edge[at + 1]
-                score[self.example[a:z] - b * BLOCK] += x * self.weight[a:z]
-            if b * BLOCK <= skip < (b + 1) * BLOCK:
-                score[skip - b * BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
-            best, cosine = np.concatenate([best, hit + b * BLOCK]), np.concatenate([cosine, score[hit]])
-            order = np.lexsort((best, -np.round(cosine, 12)))[:k]
-            best, cosine = best[order], cosine[order]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best, cosine = self._best(f, q, order[:HEAD], k, skip)
+        least = cosine[-1] - 1e-9 if len(best) >= k else 0.0
+        rest = order[HEAD:]
+        rest = rest[bound[rest] >= least]
+        if len(rest):
+            more, others = self._best(f, q, rest, k, skip)
+            best, cosine = np.concatenate([best, more]), np.concatenate([cosine, others])
+            top = np.lexsort((best, -np.round(cosine, 12)))[:k]
+            best, cosine = best[top], cosine[top]
         return best, cosine
 
+    def _best(self, f: np.ndarray, q: np.ndarray, blocks: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best k of some blocks: their postings are gathered at once."""
+        at = (f[:, None] * self.most.shape[1] + blocks[None, :]).ravel()
+        n = self.edge[at + 1] - self.edge[at]
+        place = np.repeat(self.edge[at], n) + ranges(n)
+        score = np.bincount(self.example[place], np.repeat(np.repeat(q, len(blocks)), n) * self.weight[place], len(self.labels))
+        if skip >= 0:
+            score[skip] = 0
+        hit = np.flatnonzero(score > 0)
+        top = hit[np.lexsort((hit, -np.round(score[hit], 12)))[:k]]
+        return top, score[top]
+
 
 def build_index(rows: list[tuple], labels: np.ndarray, ids: np.ndarray, idf: np.ndarray) -> Index:
     """rows: (features, counts) of the examples in order."""
@@ -225,6 +233,16 @@ class Model:
     k: int
 
     def score(self, f: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray]:
+        if not hasattr(self, "known"):
+            self.known: dict[bytes, tuple[float, np.ndarray]] = {}
+        key = f.tobytes() + n.tobytes()
+        if key not in self.known:
+            if len(self.known) > 20_000:
+                self.known.clear()
+            self.known[key] = self._score(f, n)
+        return self.known[key]
+
+    def _score(self, f: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray]:
         vote, best = _vote(self.index, f, n, self.k)
         at = max(0, int(np.searchsorted(self.starts, vote, "right")) - 1)
         return (float(self.values[at]) if len(self.values) else 0.0), best
