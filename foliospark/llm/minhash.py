@@ -39,7 +39,7 @@ THRESHOLD = 75
 HALF_BANDS = 32
 ROWS = 3
 BITMAP_WORDS = 32
-CELL = 256
+CELL = 1024
 #: Ids of so many documents are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
