@@ -63,7 +63,7 @@ def settled(df: DataFrame) -> tuple[DataFrame, int]:
 # ---------------------------------------------------------------- bytes, words, hashes
 
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_HASH = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _WORD_BASE = np.uint64(0xD1342543DE82EF95)
@@ -78,7 +78,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, CHUNK_BYTES + 4096)
         _POWERS["up"], _POWERS["down"] = _powers(_BASE, size), _powers(_BASE_INVERSE, size)
@@ -124,9 +124,9 @@ class Words:
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        up, down = _power_tables(n)
+        up, down = power_tables(n)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up, out=total[1:])
+        np.cumsum(BYTE_HASH[self.data] * up, out=total[1:])
         self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts])
 
     def counts(self) -> np.ndarray:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER_ONLY, Words, _BYTE, _power_tables, bounded_batches, cut, list_array, mix, ranges, text_chunks
+from .common import ALNUM_LOWER_ONLY, BYTE_HASH, Words, bounded_batches, cut, list_array, mix, power_tables, ranges, text_chunks
 
 EXAMPLES = 2_000
 VOCABULARY = 4_096
@@ -44,9 +44,9 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every word's features, and the text of each."""
     doc = np.repeat(np.arange(len(w.first) - 1), w.counts())
     length = w.ends - w.starts
-    up, down = _power_tables(len(w.data))
+    up, down = power_tables(len(w.data))
     total = np.zeros(len(w.data) + 1, np.uint64)
-    np.cumsum(_BYTE[w.data] * up, out=total[1:])
+    np.cumsum(BYTE_HASH[w.data] * up, out=total[1:])
     found, of = [w.hashes], [doc]
     for k in PREFIXES:
         long = length > k

@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, _BYTE, _power_tables, bounded_batches, cut, list_array, mix, text_chunks
+from .common import BYTE_HASH, NOT_SPACE, Words, bounded_batches, cut, list_array, mix, power_tables, text_chunks
 from .neighbours import held_out
 
 BITS = 16
@@ -58,9 +58,9 @@ def vectors(data: np.ndarray, offsets: np.ndarray):
     w = Words(data, offsets, NOT_SPACE, _AS_IS)
     count = w.counts()
     length = w.ends - w.starts
-    up, down = _power_tables(len(data))
+    up, down = power_tables(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[w.data] * up, out=total[1:])
+    np.cumsum(BYTE_HASH[w.data] * up, out=total[1:])
     tail = np.maximum(w.starts, w.ends - 3)
     last = mix((total[w.ends] - total[tail]) * down[tail] + np.uint64(11))
     kind = _KIND[w.data]
@@ -73,7 +73,6 @@ def vectors(data: np.ndarray, offsets: np.ndarray):
     again[1:] = w.hashes[1:] == w.hashes[:-1]
     again = mix(again + np.uint64(33))
     mask = np.uint64((1 << BITS) - 1)
-    doc = np.repeat(np.arange(len(count)), count)
     for k in range(len(count)):
         a, b = w.first[k], w.first[k + 1]
         buckets, values = [], []
@@ -164,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", examples: in
     found = sample.select("grade", "text", "id").mapInArrow(_with_id(_vector_rows), "grade int, f array<int>, v array<float>, id long")
     found = found.orderBy(F.xxhash64("id"), "id").select("grade", "f", "v").toArrow()
     grade = np.asarray(found["grade"])
-    n = np.asarray(pa.compute.list_value_length(found["f"]))
+    n = np.asarray(pc.list_value_length(found["f"]))
     f, v = (np.concatenate([np.asarray(c.flatten()) for c in found[x].chunks]) for x in ("f", "v"))
     y = np.searchsorted(grades, grade)
     size = np.bincount(y, minlength=len(grades))
