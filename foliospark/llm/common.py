@@ -8,6 +8,7 @@ finds the words of thousands of documents at once.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -17,8 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 1 << 19
-BATCH_ROWS = "1000"
+CHUNK_BYTES = 1 << 17
+BATCH_ROWS = "250"
 ROWS_TO_A_TASK = 100_000
 
 
@@ -31,6 +32,25 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def tidied(run):
+    """run, a function of Arrow batches, giving free memory back to the system when its task ends.
+
+    Workers live on from stage to stage, and what one has freed would count beside what the next one needs.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return whole
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and goes on from there.
 

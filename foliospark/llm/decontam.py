@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_LOWER_ONLY, Words, bounded_batches, list_array, text_chunks
+from .common import ALNUM_LOWER_ONLY, Words, bounded_batches, list_array, text_chunks, tidied
 
 WINDOW = 10
 MAX_WINDOWS = 2_000_000
@@ -57,7 +57,7 @@ def _grams_of(window: int):
 def test_grams(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct (item_id, n, h, gram) of items(item_id, text); shorter items are one gram of all their words."""
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_grams_of(window), _GRAMS).distinct()
+    return rows.mapInArrow(tidied(_grams_of(window)), _GRAMS).distinct()
 
 
 def _found(w: Words, n_rows: int, sets: dict, grams: dict) -> tuple[np.ndarray, dict[int, set]]:
@@ -150,7 +150,7 @@ def mark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_windo
         mine = grams if parts == 1 else grams.where(F.pmod("h", F.lit(parts)) == k)
         held = spark.sparkContext.broadcast([(r.item_id, r.n, r.h, bytes(r.gram)) for r in mine.collect()])
         schema = T.StructType([*docs.schema.fields, T.StructField(_ADDED, hits)]) if k == 0 else out.schema
-        out = out.mapInArrow(_mark(held, at_text, k == 0), schema)
+        out = out.mapInArrow(tidied(_mark(held, at_text, k == 0)), schema)
     return out
 
 
@@ -208,7 +208,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "spans", **se
     if remove != "spans":
         raise ValueError("remove is spans or documents")
     plain = marked.drop(_ADDED)
-    out = marked.mapInArrow(_cut_out, plain.schema)
+    out = marked.mapInArrow(tidied(_cut_out), plain.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

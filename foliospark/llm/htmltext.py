@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, tidied
 
 LEAST_PAGES = 8
 GAMMA = 0.9
@@ -235,7 +235,7 @@ def host_of(url: Column) -> Column:
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, path, n_pages and importance of the nodes of every host's style tree."""
-    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_style_rows, "host string, path long, look long, content long")
+    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(tidied(_style_rows), "host string, path long, look long, content long")
     counted = nodes.groupBy("host", "path", "look", "content").agg(F.count("*").alias("n"))
 
     def entropy(of: str, name: str) -> DataFrame:
@@ -268,5 +268,5 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = L
     n = low.agg(F.sum(F.size("low") + 1)).first()[0] or 0
     rows = rows.withColumn("host", host_of(F.col("url")))
     rows = rows.join(F.broadcast(low) if n <= MAX_BROADCAST_PATHS else low, "host", "left")
-    out = rows.select("page_id", "url", "html", "low").mapInArrow(_texts, "page_id long, url string, text string")
+    out = rows.select("page_id", "url", "html", "low").mapInArrow(tidied(_texts), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, ROWS_TO_A_TASK, Words, bounded_batches, cut, list_array, mix, ranges, settled, text_chunks
+from .common import NOT_SPACE, ROWS_TO_A_TASK, Words, bounded_batches, cut, list_array, mix, ranges, settled, text_chunks, tidied
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -218,7 +218,7 @@ class _Verifier:
             return pairs
         ids, n = settled(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
         ids = F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids
-        sets = cut(self.docs.join(ids, "id", "left_semi").mapInArrow(_full_sets(self.shingle), "id long, members array<long>"))
+        sets = cut(self.docs.join(ids, "id", "left_semi").mapInArrow(tidied(_full_sets(self.shingle)), "id long, members array<long>"))
         a = sets.select(F.col("id").alias("u"), F.col("members").alias("set_u"))
         b = sets.select(F.col("id").alias("v"), F.col("members").alias("set_v"))
         common = F.size(F.array_intersect("set_u", "set_v"))
@@ -267,7 +267,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, digest of the set (d1, d2), half bands and bitmap of every row of docs(doc_id, text)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bitmap array<long>")
+    return rows.mapInArrow(tidied(_signatures(shingle)), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bitmap array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER_ONLY, BYTE_HASH, Words, bounded_batches, cut, list_array, mix, power_tables, ranges, text_chunks
+from .common import ALNUM_LOWER_ONLY, BYTE_HASH, Words, bounded_batches, cut, list_array, mix, power_tables, ranges, text_chunks, tidied
 
 EXAMPLES = 2_000
 VOCABULARY = 4_096
@@ -282,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     chosen = cut(ids[0].unionByName(ids[1]))
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sample = cut(whole.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")))
-    each = sample.select("y", "text").mapInArrow(_distinct_features, "y int, f array<long>")
+    each = sample.select("y", "text").mapInArrow(tidied(_distinct_features), "y int, f array<long>")
     counts = each.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
     size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
@@ -293,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     best = counts.where(F.col("n") < total).select("f", chi.alias("chi")).where(F.col("chi") >= CHI_SQUARE)
     vocabulary = np.array(sorted(r.f for r in best.orderBy(F.desc("chi"), "f").limit(VOCABULARY).collect()), np.int64)
     held = spark.sparkContext.broadcast(vocabulary)
-    seen = whole.select("text").mapInArrow(_frequencies(held), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
+    seen = whole.select("text").mapInArrow(tidied(_frequencies(held)), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
     df, rows = np.zeros(len(vocabulary)), 1
     for r in seen:
         if r.f >= 0:
@@ -301,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
         else:
             rows = r.n
     idf = np.log((1 + rows) / (1 + df)) + 1
-    found = sample.select("id", "text").mapInArrow(_held_rows(held), "id long, f array<int>, n array<int>")
+    found = sample.select("id", "text").mapInArrow(tidied(_held_rows(held)), "id long, f array<int>, n array<int>")
     found = sample.select("id", "y").join(found, "id").orderBy(F.xxhash64("id"), "id").collect()
     y = np.array([r.y for r in found], float)
     vectors = [(np.array(r.f, np.int64), np.array(r.n, np.int64)) for r in found]
@@ -317,7 +317,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score_rows(held), "doc_id long, score double, evidence array<long>")
+    return rows.mapInArrow(tidied(_score_rows(held)), "doc_id long, score double, evidence array<long>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
@@ -343,4 +343,4 @@ def reject(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     model = fit(docs, labels, **settings)
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(_reject(held, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(tidied(_reject(held, docs.columns.index("text"))), docs.schema)

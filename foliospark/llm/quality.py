@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_HASH, NOT_SPACE, Words, bounded_batches, cut, list_array, mix, power_tables, text_chunks
+from .common import BYTE_HASH, NOT_SPACE, Words, bounded_batches, cut, list_array, mix, power_tables, text_chunks, tidied
 from .neighbours import held_out
 
 BITS = 16
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", examples: in
     chosen = cut(chosen)
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sample = whole.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("grade").alias("grade"), F.min("text").alias("text"))
-    found = sample.select("grade", "text", "id").mapInArrow(_with_id(_vector_rows), "grade int, f array<int>, v array<float>, id long")
+    found = sample.select("grade", "text", "id").mapInArrow(tidied(_with_id(_vector_rows)), "grade int, f array<int>, v array<float>, id long")
     found = found.orderBy(F.xxhash64("id"), "id").select("grade", "f", "v").toArrow()
     grade = np.asarray(found["grade"])
     n = np.asarray(pc.list_value_length(found["f"]))
@@ -199,5 +199,5 @@ def grade(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, **settings
     model = fit(docs, labels, **settings)
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_score_rows(held), "doc_id long, expected_grade double, tail_probability double")
+    out = rows.mapInArrow(tidied(_score_rows(held)), "doc_id long, expected_grade double, tail_probability double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", (F.col("tail_probability") >= keep_from).alias("kept"))

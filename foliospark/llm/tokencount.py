@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, list_array
+from .common import bounded_batches, list_array, tidied
 
 RULES = ("start", "end")
 _ENCODERS: dict = {}
@@ -114,4 +114,4 @@ def count_tokens(docs: DataFrame, sections: str | None = None, rule: str = "star
     if sections:
         columns.append(F.col(sections).cast("array<struct<start:bigint,end:bigint>>").alias("sections"))
     rows = docs.select(*columns)
-    return rows.mapInArrow(_counter(rule, ranks, bool(sections)), "doc_id long, n_tokens long, n_outside long, n_crossing long, section_tokens array<long>")
+    return rows.mapInArrow(tidied(_counter(rule, ranks, bool(sections))), "doc_id long, n_tokens long, n_outside long, n_crossing long, section_tokens array<long>")
