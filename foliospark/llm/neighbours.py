@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Features are words and their first 4, 5 and 6 bytes (A-Z lower-cased), as 64-bit hashes. From labelled rows a
-bounded sample of `EXAMPLES` of each label is taken, the smallest by hash of the id. Of the sample's features
-those go on whose chi-square with the label is at least `CHI_SQUARE`, `VOCABULARY` of them at most. Inverse
-document frequencies count all documents. The examples' vectors make an inverted index in blocks of `BLOCK`
+bounded sample of `EXAMPLES` of each label is taken, the smallest by hash of the id. All features of the sample are
+indexed. Inverse document frequencies count all documents, and are multiplied by 1 + ln(1 + the feature's chi-square
+with the label in the sample): no feature is dropped, and what tells the labels apart weighs more than the topic. (With the
+frequencies alone the nearest are those of the same topic, and most toxic texts are missed.) The examples' vectors make an inverted index in blocks of `BLOCK`
 examples with the largest weight of each feature in each block. A search looks into the `HEAD` blocks with the
 largest bounds first, and then into those that can still change the nearest `NEIGHBOURS`, so it is exact.
 
@@ -12,7 +13,7 @@ that shares one feature with every example isn't near any. They become a score b
 judged by the others, with the weights that make the sample like the labelled rows. A text without features
 has a vote of 0. Ids, languages and sources are no input of a score.
 
-The index is broadcast: at most 2 * EXAMPLES vectors over VOCABULARY features, whatever the corpus.
+The index is broadcast: 2 * EXAMPLES vectors over their own features at most, whatever the corpus.
 
 Defined results: null and empty texts have no features and get their score; rows that repeat an id each get
 their own; a label that is null is passed over; without both labels among the examples every score is the share
@@ -26,14 +27,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM_LOWER_ONLY, BYTE_HASH, Words, bounded_batches, cut, list_array, mix, power_tables, ranges, text_chunks, tidied
 
 EXAMPLES = 2_000
-VOCABULARY = 4_096
-CHI_SQUARE = 30.0
 NEIGHBOURS = 15
 BLOCK = 64
 HEAD = 4
@@ -64,7 +64,7 @@ def _held_rows(wanted):
         for batch in batches:
             lists: list[list[np.ndarray]] = [[], []]
             sizes = []
-            for row, end, data, offsets in text_chunks(batch.column(1)):
+            for row, end, data, offsets in text_chunks(batch.column(2)):
                 for f, n in _vectors(data, offsets, vocabulary):
                     lists[0].append(f)
                     lists[1].append(n)
@@ -72,7 +72,7 @@ def _held_rows(wanted):
             if sizes:
                 flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in lists]
                 columns = [list_array(flat[0].astype(np.int32), np.array(sizes), pa.int32()), list_array(flat[1].astype(np.int32), np.array(sizes), pa.int32())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "f", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "y", "f", "n"])
 
     return run
 
@@ -136,15 +136,19 @@ def _frequencies(wanted):
 
 @dataclass
 class Index:
-    """Postings by feature and block of examples, with the largest weight of each."""
+    """Postings by feature and block of examples, with the largest weight of each; only cells that have postings are kept."""
 
     idf: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
+    blocks: int
+    #: Cells of feature k are first[k] to first[k + 1]; postings of cell c are edge[c] to edge[c + 1].
+    first: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
     edge: np.ndarray
     example: np.ndarray
     weight: np.ndarray
-    most: np.ndarray
 
     def vector(self, f: np.ndarray, n: np.ndarray) -> np.ndarray:
         v = (1 + np.log(np.maximum(n, 1))) * self.idf[f]
@@ -154,29 +158,37 @@ class Index:
     def nearest(self, f: np.ndarray, n: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest cosines above 0, ties to the smaller place, and the cosines."""
         q = self.vector(f, n)
-        bound = q @ self.most[f]
+        cells = self.first[f + 1] - self.first[f]
+        cell, q = np.repeat(self.first[f], cells) + ranges(cells), np.repeat(q, cells)
+        block = self.block[cell]
+        bound = np.bincount(block, q * self.most[cell], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best, cosine = self._best(f, q, order[:HEAD], k, skip)
+        best, cosine = self._best(cell, q, block, order[:HEAD], k, skip)
         least = cosine[-1] - 1e-9 if len(best) >= k else 0.0
         rest = order[HEAD:]
         rest = rest[bound[rest] >= least]
         if len(rest):
-            more, others = self._best(f, q, rest, k, skip)
+            more, others = self._best(cell, q, block, rest, k, skip)
             best, cosine = np.concatenate([best, more]), np.concatenate([cosine, others])
             top = np.lexsort((best, -np.round(cosine, 12)))[:k]
             best, cosine = best[top], cosine[top]
         return best, cosine
 
-    def _best(self, f: np.ndarray, q: np.ndarray, blocks: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    def _best(self, cell: np.ndarray, q: np.ndarray, block: np.ndarray, blocks: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """The best k of some blocks: their postings are gathered at once."""
-        at = (f[:, None] * self.most.shape[1] + blocks[None, :]).ravel()
-        n = self.edge[at + 1] - self.edge[at]
-        place = np.repeat(self.edge[at], n) + ranges(n)
-        score = np.bincount(self.example[place], np.repeat(np.repeat(q, len(blocks)), n) * self.weight[place], len(self.labels))
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        mine = wanted[block]
+        cell, q = cell[mine], q[mine]
+        n = self.edge[cell + 1] - self.edge[cell]
+        place = np.repeat(self.edge[cell], n) + ranges(n)
+        score = np.bincount(self.example[place], np.repeat(q, n) * self.weight[place], len(self.labels))
         if skip >= 0:
             score[skip] = 0
         hit = np.flatnonzero(score > 0)
+        if len(hit) > k:  # all that can be among the best after rounding
+            hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k] - 1e-11]
         top = hit[np.lexsort((hit, -np.round(score[hit], 12)))[:k]]
         return top, score[top]
 
@@ -184,15 +196,19 @@ class Index:
 def build_index(rows: list[tuple], labels: np.ndarray, ids: np.ndarray, idf: np.ndarray) -> Index:
     """rows: (features, counts) of the examples in order."""
     blocks = max(1, -(-len(rows) // BLOCK))
-    index = Index(idf, labels, ids, np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((len(idf), blocks), np.float32))
-    f = np.concatenate([np.zeros(0, np.int64), *[np.asarray(r[0], np.int64) for r in rows]])
+    none = np.zeros(0, np.int64)
+    index = Index(idf, labels, ids, blocks, none, none, none, none, none, none)
+    f = np.concatenate([none, *[np.asarray(r[0], np.int64) for r in rows]])
     e = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     v = np.concatenate([np.zeros(0), *[index.vector(np.asarray(r[0], np.int64), np.asarray(r[1])) for r in rows]])
     order = np.lexsort((e, f))
     f, e, v = f[order], e[order], v[order]
-    index.example, index.weight = e, v
-    index.edge = np.searchsorted(f * blocks + e // BLOCK, np.arange(len(idf) * blocks + 1))
-    np.maximum.at(index.most, (f, e // BLOCK), np.nextafter(v.astype(np.float32), np.float32(2)))
+    index.example, index.weight = e.astype(np.int32), v
+    cell, begin = np.unique(f * blocks + e // BLOCK, return_index=True)
+    index.edge = np.append(begin, len(f))
+    index.block = (cell % blocks).astype(np.int32)
+    index.first = np.searchsorted(cell // blocks, np.arange(len(idf) + 1))
+    index.most = np.maximum.reduceat(v, begin) if len(v) else np.zeros(0)
     return index
 
 
@@ -271,6 +287,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def chi_square(a: np.ndarray, n: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Of features in n examples, a of them with label 1, against the label; 0 where there is nothing to tell."""
+    gap = a * (n0 - n + a) - (n - a) * (n1 - a)
+    below = n * (n0 + n1 - n) * float(n0) * n1
+    return np.where(below > 0, (n0 + n1) * gap * gap / np.maximum(below, 1), 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, k: int = NEIGHBOURS) -> Model:
     """The model of docs(doc_id, text) and labels(doc_id, label), without held-out rows; what it collects is bounded."""
     spark = docs.sparkSession
@@ -286,26 +309,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     counts = each.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
     size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
-    total = max(1, n0 + n1)
-    a, b = F.col("a"), F.col("n") - F.col("a")
-    gap = a * (n0 - b) - b * (n1 - a)
-    chi = total * gap * gap / (F.col("n") * (total - F.col("n")) * float(max(1, n1) * max(1, n0)))
-    best = counts.where(F.col("n") < total).select("f", chi.alias("chi")).where(F.col("chi") >= CHI_SQUARE)
-    vocabulary = np.array(sorted(r.f for r in best.orderBy(F.desc("chi"), "f").limit(VOCABULARY).collect()), np.int64)
+    counts = counts.toArrow().sort_by("f")
+    vocabulary, a, n = (np.asarray(counts[x]) for x in ("f", "a", "n"))
+    informed = 1 + np.log1p(chi_square(a.astype(float), n.astype(float), n0, n1))
     held = spark.sparkContext.broadcast(vocabulary)
-    seen = whole.select("text").mapInArrow(tidied(_frequencies(held)), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
-    df, rows = np.zeros(len(vocabulary)), 1
-    for r in seen:
-        if r.f >= 0:
-            df[r.f] = r.n
-        else:
-            rows = r.n
-    idf = np.log((1 + rows) / (1 + df)) + 1
-    found = sample.select("id", "text").mapInArrow(tidied(_held_rows(held)), "id long, f array<int>, n array<int>")
-    found = sample.select("id", "y").join(found, "id").orderBy(F.xxhash64("id"), "id").collect()
-    y = np.array([r.y for r in found], float)
-    vectors = [(np.array(r.f, np.int64), np.array(r.n, np.int64)) for r in found]
-    index = build_index(vectors, y, np.array([r.id for r in found], np.int64), idf)
+    seen = whole.select("text").mapInArrow(tidied(_frequencies(held)), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    at, n = np.asarray(seen["f"]), np.asarray(seen["n"])
+    df, rows = np.zeros(len(vocabulary)), int(n[at < 0].sum())
+    df[at[at >= 0]] = n[at >= 0]
+    idf = (np.log((1 + rows) / (1 + df)) + 1) * informed
+    found = sample.select("id", "y", "text").mapInArrow(tidied(_held_rows(held)), "id long, y int, f array<int>, n array<int>")
+    found = found.orderBy(F.xxhash64("id"), "id").toArrow()
+    y = np.asarray(found["y"]).astype(float)
+    edge = np.append(0, np.cumsum(np.asarray(pc.list_value_length(found["f"])))).astype(np.int64)
+    f, n = (np.concatenate([np.zeros(0, np.int32), *[np.asarray(c.flatten()) for c in found[x].chunks]]).astype(np.int64) for x in ("f", "n"))
+    vectors = [(f[a:b], n[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+    index = build_index(vectors, y, np.asarray(found["id"]).astype(np.int64), idf)
     votes = np.array([_vote(index, f, n, k, skip)[0] for skip, (f, n) in enumerate(vectors)])
     weight = {v: share.get(v, 0) / max(1, size.get(v, 0)) for v in (0, 1)}
     starts, values = isotonic(votes, y, np.array([weight[int(v)] for v in y])) if len(y) else (np.zeros(0), np.zeros(0))

@@ -371,6 +371,19 @@ def test_toxicity_without_labels(spark):
     assert {r.expected_grade for r in quality.grade(df, none.withColumnRenamed("toxic", "quality")).collect()} == {0.0}
 
 
+def test_toxicity_keeps_rare_terms(spark):
+    """A term of three toxic examples is in the index and finds them."""
+    texts = [prose(30, k) + (" idiot" if k % 4 == 0 else "") for k in range(200)]
+    rare = [i for i in range(200) if i % 4 == 0 and zlib.crc32(str(i).encode()) % 5][:3]
+    for i in rare:
+        texts[i] += " zorgle zorgle zorgle"
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = neighbours.fit(docs_of(spark, texts), labels)
+    words = {w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 for w in t.split()}
+    assert len(model.vocabulary) >= len(words) and len(model.index.ids) == len([i for i in range(200) if zlib.crc32(str(i).encode()) % 5])
+    assert sorted(neighbours.score(docs_of(spark, ["zorgle"]), model).first().evidence) == rare
+
+
 def test_quality_orders_grades(spark):
     texts, grades = [], []
     for k in range(450):
