@@ -6,9 +6,9 @@ shared by all grades and the thresholds are in order: P(grade <= k) = sigmoid(t_
 expected grade and the probability of the upper grades, for selection.
 
 The model is fitted on a bounded sample: of each grade the `EXAMPLES` labelled rows that are smallest by hash of
-the id. The driver gets their sparse vectors, EXAMPLES * grades * MOST_FEATURES pairs at most (a text with more
-distinct features keeps its most frequent, ties to the smaller bucket; scoring does the same). The sample's
-grades count by their shares among all labelled rows.
+the id, or as many of them, in that order, as have `MOST_PAIRS` pairs over all grades (each grade its part of that, one row at
+least). Every text counts with all its buckets, in the fit and in scoring; what the driver gets is bounded by the
+number of texts alone. The sample's grades count by their shares among all labelled rows.
 
 Defined results: null and empty texts have no words and get their score; rows that repeat an id each get their
 own; null grades are passed over; with fewer than two grades known all rows get the one grade (0 if none is
@@ -31,7 +31,7 @@ from .neighbours import held_out
 
 BITS = 16
 EXAMPLES = 1_500
-MOST_FEATURES = 1_024
+MOST_PAIRS = 4_000_000
 STEPS = 300
 RATE = 0.05
 RIDGE = 1e-4
@@ -78,9 +78,6 @@ def vectors(data: np.ndarray, offsets: np.ndarray):
         buckets, values = [], []
         for part, weight in ((w.hashes[a:b], 1.0), (np.concatenate([last[a:b], shape[a:b], again[a:b]]), 2.0)):
             f, n = np.unique((part & mask).astype(np.int64), return_counts=True)
-            if len(f) > MOST_FEATURES // 2:
-                keep = np.sort(np.lexsort((f, -n))[: MOST_FEATURES // 2])
-                f, n = f[keep], n[keep]
             v = np.sqrt(n)
             buckets.append(f)
             values.append(weight * v / max(1e-9, float(np.sqrt(v @ v))))
@@ -161,6 +158,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", examples: in
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sample = whole.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("grade").alias("grade"), F.min("text").alias("text"))
     found = sample.select("grade", "text", "id").mapInArrow(tidied(_with_id(_vector_rows)), "grade int, f array<int>, v array<float>, id long")
+    found = cut(found)
+    sizes = found.select("grade", "id", F.size("f").alias("n")).orderBy(F.xxhash64("id"), "id").collect()
+    taken, room = [], {int(g): MOST_PAIRS // len(grades) for g in grades}
+    full = dict(room)
+    for r in sizes:
+        if room[r.grade] >= r.n or room[r.grade] == full[r.grade]:
+            taken.append(r.id)
+            room[r.grade] -= r.n
+        else:
+            room[r.grade] = -1
+    if len(taken) < len(sizes):
+        found = found.where(F.col("id").isin(taken))
     found = found.orderBy(F.xxhash64("id"), "id").select("grade", "f", "v").toArrow()
     grade = np.asarray(found["grade"])
     n = np.asarray(pc.list_value_length(found["f"]))

@@ -401,6 +401,21 @@ def test_quality_orders_grades(spark):
     assert all(0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2 for r in out.values()) and len(out) == 460
 
 
+def test_quality_uses_every_word(spark, monkeypatch):
+    """All buckets of a long text count, and the fit takes fewer texts, not shorter ones, where there is little room."""
+    words = [f"w{k}" for k in range(3000)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    [(f, v)] = quality.vectors(data, np.array([0, len(data)]))
+    w = quality.Words(data, np.array([0, len(data)]), quality.NOT_SPACE, quality._AS_IS)
+    assert set(np.unique(w.hashes & np.uint64((1 << quality.BITS) - 1)).astype(int)) <= set(f.tolist())
+    monkeypatch.setattr(quality, "MOST_PAIRS", 12_000)
+    df = docs_of(spark, [prose(50, k) + (" %%%" * 9 if k % 2 else "") for k in range(200)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    out = rows_of(quality.grade(df, labels), "doc_id")
+    assert len(out) == 200
+    assert np.mean([(r.expected_grade > 0.5) == (i % 2 == 1) for i, r in out.items()]) > 0.9
+
+
 # ---------------------------------------------------------------- 8
 
 
