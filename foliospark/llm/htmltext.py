@@ -10,7 +10,8 @@ of the host. Counts go through two aggregations that combine before their shuffl
 third of all pages is no more than a large count.
 
 Beside that, elements that say what they are go: navigation, footers, forms, scripts, hidden elements,
-and those whose class, id or role names a menu, an advert, a notice, comments and so on. An article or main
+and those whose class, id or role names a menu, an advert, a notice, comments and so on. Names in class and id don't
+count on html, body, article and main, nor on what holds most of the page's text with every article and main in it. An article or main
 element is trusted: entropy doesn't remove what is in it, and if it has text, text outside is left out.
 
 Defined results: null or empty html gives the empty text; a null url belongs to the host ""; rows that repeat
@@ -48,6 +49,9 @@ _WORDS = frozenset(
     "widget copyright paywall skiplink alert banner commentlist masthead".split()
 )
 _WORDS_OUTSIDE = frozenset("header search legal topbar logo".split())
+_NEVER_BY_NAME = frozenset(["html", "body", "article", "main"])
+#: Kinds of noise: by tag, role or style; by tag outside of trusted elements; by name; by name outside of trusted elements.
+_ALWAYS, _OUTSIDE, _NAMED, _NAMED_OUTSIDE = 1, 2, 3, 4
 #: Closed by the start of one of the same set, up to the nearest element of the second set.
 _CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -69,29 +73,54 @@ _MASK, _K = (1 << 64) - 1, 0x9E3779B97F4A7C15
 class _Page:
     """Elements in page order, each with parent, path, whether it is left out or trusted, and its range of texts."""
 
-    __slots__ = ("parent", "tag", "path", "out", "trusted", "begin", "end", "texts", "of", "breaks", "names")
+    __slots__ = ("parent", "tag", "path", "out", "trusted", "begin", "end", "texts", "of", "breaks", "noise")
 
     def __init__(self):
         self.parent, self.tag, self.path, self.out, self.trusted = [-1], ["#"], [0], [False], [False]
+        self.noise = [0]
         self.begin, self.end = [0], [0]
         #: Texts, the element each is in, and whether a block begins with it.
         self.texts, self.of, self.breaks = [], [], []
 
 
-def _noise(tag: str, attributes: str, trusted: bool) -> tuple[bool, str]:
-    """Whether an element says that it isn't main text, and its class and id for the path."""
-    if tag in _DROP or tag in _DROP_OUTSIDE and not trusted:
-        return True, ""
+def _noise(tag: str, attributes: str) -> tuple[int, str]:
+    """How an element says that it isn't main text (0: it doesn't), and its class and id for the path."""
+    if tag in _DROP or tag in _DROP_OUTSIDE:
+        return _ALWAYS if tag in _DROP else _OUTSIDE, ""
     if not attributes or attributes.isspace():
-        return False, ""
+        return 0, ""
     found = {m[1].lower(): m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     label = f"{found.get('class', '')} {found.get('id', '')}".strip()
     if "hidden" in found or found.get("aria-hidden") == "true" or _HIDES.search(found.get("style", "")):
-        return True, label
+        return _ALWAYS, label
     if found.get("role", "").lower() in _ROLES:
-        return True, label
+        return _ALWAYS, label
+    if tag in _NEVER_BY_NAME:
+        return 0, label
     words = {w.lower() for w in _NAME.findall(label)}
-    return bool(words & _WORDS) or not trusted and bool(words & _WORDS_OUTSIDE), label
+    return _NAMED if words & _WORDS else _NAMED_OUTSIDE if words & _WORDS_OUTSIDE else 0, label
+
+
+def _settle(page: _Page) -> None:
+    """Sets out and trusted. A name alone doesn't make noise of the holder of most of a page's text, unless an article or main is elsewhere."""
+    size, main = [0] * len(page.tag), [t in _TRUSTED for t in page.tag]
+    hard = [False] * len(page.tag)
+    for k in range(1, len(page.tag)):
+        hard[k] = hard[page.parent[k]] or page.noise[k] == _ALWAYS
+    for text, of in zip(page.texts, page.of):
+        if not hard[of]:
+            size[of] += sum(map(len, text.split()))
+    mains = [int(m and not h) for m, h in zip(main, hard)]
+    for k in range(len(page.tag) - 1, 0, -1):
+        size[page.parent[k]] += size[k]
+        mains[page.parent[k]] += mains[k]
+    for k in range(1, len(page.tag)):
+        up = page.parent[k]
+        noise, trusted = page.noise[k], page.trusted[up]
+        by_name = noise == _NAMED or noise == _NAMED_OUTSIDE and not trusted
+        by_name = by_name and not (2 * size[k] > size[0] and mains[k] == mains[0])
+        page.out[k] = page.out[up] or noise == _ALWAYS or noise == _OUTSIDE and not trusted or by_name
+        page.trusted[k] = trusted or main[k] and not page.out[k]
 
 
 def parse(html: str, paths: dict | None = None) -> _Page:
@@ -151,19 +180,18 @@ def parse(html: str, paths: dict | None = None) -> _Page:
             elif name != "br":
                 close_sort(frozenset(["p"]), frozenset(["td", "th", "table", "button"]))
         up = open_[-1]
-        trusted = page.trusted[up]
-        noise, label = _noise(name, attributes, trusted)
+        noise, label = _noise(name, attributes)
         key = (page.path[up], name, label)
         path = paths.get(key)
         if path is None:
             path = paths[key] = xxhash.xxh64_intdigest(f"{key[0]}/{name} {label}") >> 1
-        out = page.out[up] or noise
         k = len(page.tag)
         page.parent.append(up)
         page.tag.append(name)
         page.path.append(path)
-        page.out.append(out)
-        page.trusted.append(trusted or name in _TRUSTED and not out)
+        page.out.append(False)
+        page.trusted.append(False)
+        page.noise.append(noise)
         page.begin.append(len(page.texts))
         page.end.append(len(page.texts))
         if name in _RAW:
@@ -172,6 +200,7 @@ def parse(html: str, paths: dict | None = None) -> _Page:
         elif name not in _VOID and not attributes.endswith("/") or name not in _VOID and name in _TRUSTED:
             open_.append(k)
     close(0)
+    _settle(page)
     return page
 
 

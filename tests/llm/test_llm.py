@@ -264,6 +264,17 @@ def test_html_rules(html, text):
     assert " ".join(htmltext.main_text(htmltext.parse(html)).split()) == " ".join(text.split()) or htmltext.main_text(htmltext.parse(html)).replace(" ", "") == text.replace(" ", "")
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<body class='post has-sidebar'><p>x y z</p><nav>m</nav>", "<html class='cookie-consent'><body class=no-sidebar>x y z", "<article class='post comments-open'><p>x y z</article>",
+        "<div id='main' class='with-sidebar'><p>x y z</p></div><div class=sidebar>s</div>", "<div class='widget main'><article>x y z</article></div>",
+    ],
+)
+def test_html_names_on_holders(html):
+    assert htmltext.main_text(htmltext.parse(html)) == "x y z"
+
+
 def test_style_tree(spark):
     """A box that is the same on all pages of a host goes; the same box on another host stays."""
     page = "<div class=box>Same words</div><div class=body><p>{0}</p></div>"
