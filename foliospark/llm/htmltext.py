@@ -2,12 +2,13 @@
 
 Pages are parsed to trees by the rules of HTML that matter here: void elements, implied ends, raw text of
 scripts and styles, unclosed and misnested tags. The trees of one host are merged into a site style tree:
-a node is a path of tags and classes. For each node that occurs on at least `LEAST_PAGES` pages its
-importance is found from how its presentation (the tags beneath) and its content (the text beneath) vary:
-(1 - GAMMA) * entropy of presentations + GAMMA * entropy of contents, each to the base of the number of
-pages, so 0 where all pages agree and 1 where all differ. Branches below `THRESHOLD` are removed from each page
-of the host. Counts go through two aggregations that combine before their shuffles, so a host with a
-third of all pages is no more than a large count.
+a node is a path of tags and classes. Each of its elements counts, with its presentation (the tags beneath) and its
+content (the text beneath). The importance of an element is the surprisal of both, -ln(share of the pages with that path
+that have the same), to the base of the number of those pages: 0 where all pages agree and 1 where each has its own; the
+entropy of a node is the mean of it over its elements. Elements that occur on `LEAST_PAGES` pages and `LEAST_SHARE` of
+the pages with their path, with an importance below `THRESHOLD`, are removed from each page of the host, one by one:
+others of the same path stay. Counts combine before their shuffle, so a host with a third of all pages is no more than
+a large count.
 
 Beside that, elements that say what they are go: navigation, footers, forms, scripts, hidden elements,
 and those whose class, id or role names a menu, an advert, a notice, comments and so on. Names in class and id don't
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, tidied
 
 LEAST_PAGES = 8
-GAMMA = 0.9
+LEAST_SHARE = 0.5
 THRESHOLD = 0.25
 MAX_BROADCAST_PATHS = 1_000_000
 
@@ -205,11 +206,12 @@ def parse(html: str, paths: dict | None = None) -> _Page:
 
 
 def main_text(page: _Page, low: frozenset = frozenset()) -> str:
-    """The page's main text, without branches whose path is in low."""
+    """The page's main text, without branches whose value is in low."""
     out = list(page.out)
     if low:
+        values = _values(page)
         for k in range(1, len(out)):
-            out[k] = out[k] or out[page.parent[k]] or page.path[k] in low and not page.trusted[k]
+            out[k] = out[k] or out[page.parent[k]] or values[k] in low
     for trusted in (True, False):
         blocks: list[list[str]] = []
         fresh = True
@@ -227,55 +229,54 @@ def main_text(page: _Page, low: frozenset = frozenset()) -> str:
     return ""
 
 
-def _nodes(page: _Page):
-    """(path, presentation, content) of each node that entropy may remove, once for each path: its first element."""
-    prefix, powers = [0], [1]
+def _values(page: _Page) -> list[int]:
+    """A hash of path, presentation and content of each element that repetition may remove, 0 of the others."""
+    prefix, powers, worded = [0], [1], [0]
     for t in page.texts:
-        prefix.append((prefix[-1] * _K + (xxhash.xxh64_intdigest(" ".join(t.split())) | 1)) & _MASK)
+        words = " ".join(t.split())
+        prefix.append((prefix[-1] * _K + (xxhash.xxh64_intdigest(words) | 1)) & _MASK if words else prefix[-1])
         powers.append(powers[-1] * _K & _MASK)
+        worded.append(worded[-1] + bool(words))
     beneath: dict[int, int] = {}
     for k in range(len(page.tag) - 1, 0, -1):
         beneath[page.parent[k]] = (beneath.get(page.parent[k], 7) * _K + page.path[k]) & _MASK
-    seen = set()
+    out = [0] * len(page.tag)
     for k in range(1, len(page.tag)):
-        if page.out[k] or page.trusted[k] or page.path[k] in seen or page.tag[k] in ("html", "body"):
-            continue
-        seen.add(page.path[k])
         a, b = page.begin[k], page.end[k]
-        yield page.path[k], beneath.get(k, 0) >> 1, ((prefix[b] - prefix[a] * powers[b - a]) & _MASK) >> 1
+        if worded[a] == worded[b] or page.out[k] or page.trusted[k] or page.tag[k] in ("html", "body"):
+            continue
+        content = (prefix[b] - prefix[a] * powers[worded[b] - worded[a]]) & _MASK
+        out[k] = xxhash.xxh64_intdigest(f"{page.path[k]} {beneath.get(k, 0)} {content}") >> 1 | 1
+    return out
 
 
 def _style_rows(batches):
+    """host, path, value and on how many pages of the batch; value 0 counts the pages that have the path."""
     paths: dict = {}
     for batch in batches:
-        hosts, pages = batch.column(0).to_pylist(), batch.column(1)
-        rows: list[list] = [[], [], [], []]
-        for host, html in zip(hosts, pages):
-            for node in _nodes(parse(html.as_py() or "", paths)):
-                for column, value in zip(rows, (host, *node)):
-                    column.append(value)
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], ["host", "path", "look", "content"])
+        counts: dict[tuple, float] = {}
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+            page = parse(html.as_py() or "", paths)
+            values = _values(page)
+            for path, value in {(page.path[k], v) for k, v in enumerate(values) if v} | {(page.path[k], 0) for k, v in enumerate(values) if v}:
+                key = (host, path, value)
+                counts[key] = counts.get(key, 0) + 1
+        columns = zip(*counts) if counts else ((), (), ())
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(counts.values(), pa.float64())], ["host", "path", "value", "n"])
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, n_pages and importance of the nodes of every host's style tree."""
-    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(tidied(_style_rows), "host string, path long, look long, content long")
-    counted = nodes.groupBy("host", "path", "look", "content").agg(F.count("*").alias("n"))
-
-    def entropy(of: str, name: str) -> DataFrame:
-        parts = counted.groupBy("host", "path", of).agg(F.sum("n").alias("n"))
-        each = parts.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"))
-        value = F.when(F.col("m") > 1, (F.ln("m") - F.col("s") / F.col("m")) / F.ln("m")).otherwise(1.0)
-        return each.select("host", "path", F.col("m").alias(f"{name}_m"), value.alias(name))
-
-    both = entropy("look", "looks").join(entropy("content", "contents"), ["host", "path"])
-    importance = (1 - GAMMA) * F.col("looks") + GAMMA * F.col("contents")
-    return both.select("host", "path", F.col("looks_m").alias("n_pages"), importance.alias("importance"))
+def style_tree(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host (hashed), value, n_pages and importance of the elements of every host's style tree that repeat on least_pages pages."""
+    rows = pages.select(F.xxhash64("host").alias("host"), "html")
+    found = rows.mapInArrow(tidied(_style_rows), "host long, path long, value long, n double")
+    counted = cut(found.groupBy("host", "path", "value").agg(F.sum("n").alias("n")).where(F.col("n") > least_pages - 0.5))
+    whole = counted.where("value = 0").select("host", "path", F.col("n").alias("n_pages"))
+    both = counted.where("value <> 0").join(whole, ["host", "path"])
+    return both.select("host", "value", "n", "n_pages", (-F.ln(F.col("n") / F.col("n_pages")) / F.ln("n_pages")).alias("importance"))
 
 
 def _texts(batches):
@@ -292,10 +293,11 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = L
     """page_id, url, text and n_chars of every row of pages(page_id, url, html)."""
     bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    low = style_tree(rows).where((F.col("importance") < threshold) & (F.col("n_pages") >= least_pages))
-    low = cut(low.groupBy("host").agg(F.collect_list("path").alias("low")))
-    n = low.agg(F.sum(F.size("low") + 1)).first()[0] or 0
     rows = rows.withColumn("host", host_of(F.col("url")))
+    low = style_tree(rows, least_pages).where((F.col("importance") < threshold) & (F.col("n") >= LEAST_SHARE * F.col("n_pages")))
+    low = cut(low.groupBy("host").agg(F.collect_list("value").alias("low")))
+    n = low.agg(F.sum(F.size("low") + 1)).first()[0] or 0
+    rows = rows.withColumn("host", F.xxhash64("host"))
     rows = rows.join(F.broadcast(low) if n <= MAX_BROADCAST_PATHS else low, "host", "left")
     out = rows.select("page_id", "url", "html", "low").mapInArrow(tidied(_texts), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

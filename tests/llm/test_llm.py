@@ -288,6 +288,14 @@ def test_style_tree(spark):
     assert (got[200].text, got[201].text, got[202].text) == ("", "", "x")
 
 
+def test_style_tree_judges_single_elements(spark):
+    """A repeated first paragraph goes alone; a repeated last one goes too."""
+    page = "<div class=content><p>By our staff</p><p>{0}</p><p>Read also</p></div>"
+    rows = [(i, "http://h.example/x", page.format(prose(20, i))) for i in range(12)]
+    got = rows_of(htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert {i: r.text for i, r in got.items()} == {i: prose(20, i) for i in range(12)}
+
+
 # ---------------------------------------------------------------- 5
 
 
