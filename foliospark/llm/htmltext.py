@@ -7,7 +7,8 @@ content (the text beneath). The importance of an element is the surprisal of bot
 that have the same), to the base of the number of those pages: 0 where all pages agree and 1 where each has its own; the
 entropy of a node is the mean of it over its elements. Elements that occur on `LEAST_PAGES` pages and `LEAST_SHARE` of
 the pages with their path, with an importance below `THRESHOLD`, are removed from each page of the host, one by one:
-others of the same path stay. Counts combine before their shuffle, so a host with a third of all pages is no more than
+others of the same path stay. Equal pages of a host count as one page (each as its part of one), and a page
+that would be left without text keeps its branches. Counts combine before their shuffle, so a host with a third of all pages is no more than
 a large count.
 
 Beside that, elements that say what they are go: navigation, footers, forms, scripts, hidden elements,
@@ -206,7 +207,7 @@ def parse(html: str, paths: dict | None = None) -> _Page:
 
 
 def main_text(page: _Page, low: frozenset = frozenset()) -> str:
-    """The page's main text, without branches whose value is in low."""
+    """The page's main text, without branches whose value is in low, unless that leaves nothing."""
     out = list(page.out)
     if low:
         values = _values(page)
@@ -226,7 +227,7 @@ def main_text(page: _Page, low: frozenset = frozenset()) -> str:
         words = [w for b in blocks for w in "".join(b).split()]
         if words:
             return " ".join(words)
-    return ""
+    return main_text(page) if low else ""
 
 
 def _values(page: _Page) -> list[int]:
@@ -251,16 +252,16 @@ def _values(page: _Page) -> list[int]:
 
 
 def _style_rows(batches):
-    """host, path, value and on how many pages of the batch; value 0 counts the pages that have the path."""
+    """host, path, value and on how many pages of the batch, copies as parts of one; value 0 counts the pages that have the path."""
     paths: dict = {}
     for batch in batches:
         counts: dict[tuple, float] = {}
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for host, html, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             page = parse(html.as_py() or "", paths)
             values = _values(page)
             for path, value in {(page.path[k], v) for k, v in enumerate(values) if v} | {(page.path[k], 0) for k, v in enumerate(values) if v}:
                 key = (host, path, value)
-                counts[key] = counts.get(key, 0) + 1
+                counts[key] = counts.get(key, 0) + 1 / copies
         columns = zip(*counts) if counts else ((), (), ())
         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(counts.values(), pa.float64())], ["host", "path", "value", "n"])
 
@@ -271,7 +272,10 @@ def host_of(url: Column) -> Column:
 
 def style_tree(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """host (hashed), value, n_pages and importance of the elements of every host's style tree that repeat on least_pages pages."""
-    rows = pages.select(F.xxhash64("host").alias("host"), "html")
+    rows = pages.select(F.xxhash64("host").alias("host"), "html", F.xxhash64("html", F.length("html")).alias("page"))
+    same = cut(rows.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1"))
+    rows = rows.join(F.broadcast(same) if same.count() <= MAX_BROADCAST_PATHS else same, ["host", "page"], "left")
+    rows = rows.select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
     found = rows.mapInArrow(tidied(_style_rows), "host long, path long, value long, n double")
     counted = cut(found.groupBy("host", "path", "value").agg(F.sum("n").alias("n")).where(F.col("n") > least_pages - 0.5))
     whole = counted.where("value = 0").select("host", "path", F.col("n").alias("n_pages"))

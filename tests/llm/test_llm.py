@@ -296,6 +296,17 @@ def test_style_tree_judges_single_elements(spark):
     assert {i: r.text for i, r in got.items()} == {i: prose(20, i) for i in range(12)}
 
 
+def test_style_tree_counts_copies_once(spark):
+    """Copies of a page make boilerplate neither of its own text nor of that of others of its host; no page is left empty."""
+    page = "<div class=content><p>{0}</p></div>"
+    rows = [(i, "http://h.example/x", page.format("copied words" if i < 90 else prose(20, i))) for i in range(100)]
+    rows += [(100 + i, "http://k.example/", page.format("same")) for i in range(8)]
+    rows += [(200 + i, "http://l.example/", f"<meta content={i}>" + page.format("same")) for i in range(20)]
+    got = rows_of(htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert all(got[i].text == ("copied words" if i < 90 else prose(20, i)) for i in range(100))
+    assert all(r.text == "same" for i, r in got.items() if i >= 100)
+
+
 # ---------------------------------------------------------------- 5
 
 
