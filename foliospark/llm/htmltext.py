@@ -13,8 +13,9 @@ a large count.
 
 Beside that, elements that say what they are go: navigation, footers, forms, scripts, hidden elements,
 and those whose class, id or role names a menu, an advert, a notice, comments and so on. Names in class and id don't
-count on html, body, article and main, nor on what holds most of the page's text with every article and main in it. An article or main
-element is trusted: entropy doesn't remove what is in it, and if it has text, text outside is left out.
+count on html, body, article and main, nor on what holds most of the page's text with every article and main in it. An article
+or main element is added evidence: if what the style tree leaves in such elements is at least half as much text as
+what it leaves outside, the text outside is left out. Within them the style tree removes blocks, but no inline elements.
 
 Defined results: null or empty html gives the empty text; a null url belongs to the host ""; rows that repeat
 a page_id each get their own result; other columns are passed over. An empty table gives an empty result.
@@ -213,20 +214,24 @@ def main_text(page: _Page, low: frozenset = frozenset()) -> str:
         values = _values(page)
         for k in range(1, len(out)):
             out[k] = out[k] or out[page.parent[k]] or values[k] in low
-    for trusted in (True, False):
-        blocks: list[list[str]] = []
-        fresh = True
-        for piece, of, begins in zip(page.texts, page.of, page.breaks):
-            fresh = fresh or begins
-            if out[of] or trusted and not page.trusted[of]:
-                continue
-            if fresh:
-                blocks.append([])
-                fresh = False
-            blocks[-1].append(piece)
-        words = [w for b in blocks for w in "".join(b).split()]
-        if words:
-            return " ".join(words)
+    blocks: list[list[str]] = []
+    inside: list[bool] = []
+    fresh = True
+    for piece, of, begins in zip(page.texts, page.of, page.breaks):
+        fresh = fresh or begins
+        if out[of]:
+            continue
+        if fresh or inside[-1] != page.trusted[of]:
+            blocks.append([])
+            inside.append(page.trusted[of])
+            fresh = False
+        blocks[-1].append(piece)
+    texts = ["".join(b).split() for b in blocks]
+    size = [sum(len(w) for t, i in zip(texts, inside) if i == side for w in t) for side in (False, True)]
+    only = size[True] > 0 and 2 * size[True] >= size[False]
+    words = [w for t, i in zip(texts, inside) if i or not only for w in t]
+    if words:
+        return " ".join(words)
     return main_text(page) if low else ""
 
 
@@ -244,7 +249,7 @@ def _values(page: _Page) -> list[int]:
     out = [0] * len(page.tag)
     for k in range(1, len(page.tag)):
         a, b = page.begin[k], page.end[k]
-        if worded[a] == worded[b] or page.out[k] or page.trusted[k] or page.tag[k] in ("html", "body"):
+        if worded[a] == worded[b] or page.out[k] or page.trusted[k] and page.tag[k] in _INLINE or page.tag[k] in ("html", "body"):
             continue
         content = (prefix[b] - prefix[a] * powers[worded[b] - worded[a]]) & _MASK
         out[k] = xxhash.xxh64_intdigest(f"{page.path[k]} {beneath.get(k, 0)} {content}") >> 1 | 1

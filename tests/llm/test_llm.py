@@ -307,6 +307,16 @@ def test_style_tree_counts_copies_once(spark):
     assert all(r.text == "same" for i, r in got.items() if i >= 100)
 
 
+def test_style_tree_decides_in_articles(spark):
+    """A box repeated inside articles goes, and a short article doesn't hide a longer text beside it."""
+    page = "<article><p>{0}</p><div class=writer>Ann writes for us.</div></article>"
+    rows = [(i, "http://h.example/x", page.format(prose(20, i))) for i in range(12)]
+    rows.append((100, "http://k.example/", f"<article><p>teaser</article><div class=story><p>{prose(20, 100)}</div>"))
+    got = rows_of(htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert all(got[i].text == prose(20, i) for i in range(12))
+    assert got[100].text == "teaser " + prose(20, 100)
+
+
 # ---------------------------------------------------------------- 5
 
 
