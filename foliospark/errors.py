@@ -13,6 +13,14 @@ class ApiError(FolioError):
         self.code, self.trace_id = code, trace_id
 
 
+class HttpError(FolioError):
+    """A server refused a call; carries its status, as the code too, and what it says of when to try again."""
+
+    def __init__(self, status: int, message: str, retry_after: str | None = None):
+        super().__init__(f"{status}: {message}")
+        self.status, self.code, self.retry_after = status, str(status), retry_after
+
+
 class PlanError(FolioError):
     """A source can't be planned."""
 

@@ -39,6 +39,16 @@ def metadata_block(text: Column, semantics: Column, images_json: Column, heading
     return F.concat(X.rstrip(F.concat(*[F.coalesce(p, F.lit("")) for p in parts])), F.lit("\n"))
 
 
+IMAGE_FIELDS = {"type": "string", "summary": "string", "elements": "array<string>", "key_findings": "array<string>", "keywords": "array<string>"}
+
+
+def image_semantics(answers: DataFrame, key: str) -> DataFrame:
+    """key, file, the fields of schema.IMAGE_SEMANTICS and error of answers(key, file, answer, error_message)."""
+    value = X.tolerant_json(F.col("answer"))
+    fields = [F.try_variant_get(value, f"$.{name}", kind).alias(name) for name, kind in IMAGE_FIELDS.items()]
+    return answers.select(key, "file", *fields, F.coalesce("error_message", F.when(value.isNull(), "the answer is no JSON")).alias("error"))
+
+
 def image_outcomes(images: DataFrame, key: str) -> DataFrame:
     """key, n_ok, n_failed and images_json of images(key, file, error and fields): a failure is a row like any other."""
     fields = [c for c in images.columns if c != key]

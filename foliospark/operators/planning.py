@@ -64,21 +64,29 @@ def bisect(ranges: DataFrame, page_bytes: str, target: int = TARGET_PART_BYTES,
     return out.withColumn("part_bytes", size).withColumn("oversize", F.col("part_bytes") > target)
 
 
-def plan_parts(sources: DataFrame, cap: int = MAX_PAGES) -> DataFrame:
-    """Parts of routed sources(job_id, path, route, page_count, office_page_ranges) that need no physical split."""
+def plan_parts(sources: DataFrame, cap: int = MAX_PAGES, split: DataFrame | None = None) -> DataFrame:
+    """Parts of routed sources(job_id, path, route, page_count, office_page_ranges).
+
+    Physical ones are there where split(path, part_index, page_start, page_end, error) says how they are cut; a source
+    that couldn't be cut has no parts.
+    """
     name = X.base_name(F.col("path"))
     office = sources.where("route = 'office'").withColumns(
         {"part_index": F.lit(1), "page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int"), "page_ranges": F.col("office_page_ranges")}
     )
-    pdf = page_ranges(sources.where("route = 'logical'"), cap)
-    both = pdf.unionByName(office)
-    ranged = F.col("page_ranges").isNotNull() & (F.col("route") == "logical")
+    both = page_ranges(sources.where("route = 'logical'"), cap).unionByName(office)
+    if split is not None:
+        cut = split.where("error is null").select("path", "part_index", "page_start", "page_end")
+        whole = sources.where("route = 'physical'").join(cut, "path").withColumn("page_ranges", F.lit(None).cast("string"))
+        both = both.unionByName(whole.select(*both.columns))
+    physical = F.col("route") == "physical"
+    ranged = physical | F.col("page_ranges").isNotNull() & (F.col("route") == "logical")
     return both.withColumns(
         {
             "upload_name": F.when(ranged, X.part_file_name(name, F.col("page_start"), F.col("page_end"))).otherwise(name),
             "data_id": X.part_data_id(F.col("job_id"), F.col("part_index"), F.col("page_start"), F.col("page_end")),
             "output_dir": F.concat("path", F.lit(".parts")),
-            "physical": F.lit(False),
+            "physical": physical,
             "state": F.lit("planned"),
         }
     )

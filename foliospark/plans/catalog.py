@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -503,8 +502,3 @@ def retry_predicates(spark, sf_dir):
     status = F.when(i % 7 == 0, 429).when(i % 100 < 50, 500 + i % 100).otherwise(400 + i % 20)
     url = F.concat(F.when(i % 2 == 0, "HTTPS://x/").otherwise("http://x/"), i.cast("string"))
     return table(spark, sf_dir, "events").select("event_id", ((status == 429) | (status >= 500)).alias("retry"), F.lower(url).startswith("https://").alias("https"))
-
-
-#: Prompts for a provider; the answers have the fields of schema.TEXT_SEMANTICS and IMAGE_SEMANTICS.
-TEXT_PROMPT = "Describe this document as JSON with " + json.dumps({"sections": [{"title": "", "summary": ""}], "entities": [{"name": "", "type": "", "description": ""}], "cross_references": [], "tags": []}) + "\n\n{markdown}"
-IMAGE_PROMPT = "Describe this image as JSON with " + json.dumps({"type": "", "summary": "", "elements": [], "key_findings": [], "keywords": []})

@@ -63,5 +63,6 @@ def clear_token(path: Path | None = None) -> bool:
 
 
 def status(path: Path | None = None) -> dict:
-    value, source = token(path)
-    return {"configured": value is not None, "source": source, "config_path": str(path or config_path()), "environment": ENVIRONMENT}
+    """Whether the file and the environment hold a token, and which of them counts."""
+    in_file, in_environment = bool(str(load(path).get("token") or "").strip()), bool(os.environ.get(ENVIRONMENT, "").strip())
+    return {"config_path": str(path or config_path()), "config_set": in_file, "environment_set": in_environment, "effective_source": token(path)[1], "environment": ENVIRONMENT}

@@ -1,11 +1,14 @@
 import io
 import json
+import sys
 import zipfile
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from foliospark import facade
+from foliospark import errors as facade_errors
 from foliospark.errors import ApiError
 from foliospark.functions import links as L
 from foliospark.functions import text as X
@@ -14,6 +17,9 @@ from foliospark.sources import files, providers, settings, sinks
 from foliospark.streaming.fold import poll
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't find this module
+
+
 def one(spark, value, *columns):
     return spark.createDataFrame([(value,)], "x string").select(*columns).first()
 
@@ -260,3 +266,203 @@ def test_page_counts(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"junk")
     got = {r.path.rpartition("/")[2]: r for r in files.page_counts(files.sources(spark, str(tmp_path), content=True)).collect()}
     assert got["a.pdf"].page_count == 3 and got["b.pdf"].page_count is None and got["b.pdf"].error
+
+
+class Service(providers.StubExtraction):
+    """Serves real archives, by what a part is called; counts nothing, so that it may run anywhere."""
+
+    def batch_status(self, batch_id):
+        rows = [{"data_id": d, "state": "failed" if d.endswith("0201-0400") else "done", "err_msg": "bad page", "err_code": "7", "full_zip_url": f"https://results/{d}"} for d in batch_id[2:].split("+")]
+        return {"code": 0, "trace_id": "t", "data": {"extract_result": rows}}
+
+    def request_uploads(self, request):
+        names = [f["data_id"] for f in json.loads(request)["files"]]
+        return {"code": 0, "trace_id": "t", "data": {"batch_id": f"b-{'+'.join(names)}", "file_urls": [f"https://upload/{n}" for n in names]}}
+
+    def upload(self, url, content):
+        if b"refuse" in content:
+            return 403
+        return 204
+
+    def download(self, url):
+        made = {"out/full.md": f"# {url[-4:]}\n\n![f](images/same.png) [x](images/none.png)\n", "out/images/same.png": f"image {url[-4:]}", "out/images/unused.png": "u", "other.json": "{}"}
+        return zipped(made)
+
+
+def jobs_of(engine):
+    return {r.source_name: r for r in engine.jobs().collect()}
+
+
+def test_engine_brings_results_home(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.pdf").write_bytes(pdf(3))
+    (source / "b.docx").write_bytes(b"word")
+    (source / "c.docx").write_bytes(b"refuse")
+    (source / "d.txt").write_bytes(b"no")
+    (source / "e.pdf").write_bytes(pdf(450))
+    engine = facade.Engine(spark, str(tmp_path / "state"), providers.Patient(Service(), lambda s: None))
+    rows = {r["source_name"]: r for r in engine.process(str(source), timeout=0, enrichment=providers.StubEnrichment())}
+    assert {n: r["state"] for n, r in rows.items()} == {"a.pdf": "done", "b.docx": "done", "c.docx": "failed", "d.txt": "failed", "e.pdf": "failed"}
+    assert "403" in rows["c.docx"]["error_message"] and rows["d.txt"]["error_message"] == "unsupported" and rows["e.pdf"]["error_message"] == "bad page"
+    home = source / "a.pdf.parts"
+    text = (home / "full.md").read_text()
+    assert text == "<!-- source pages 1-3 -->\n\n# 0003\n\n![f](assets/part-0001/images/same.png) [x](images/none.png)\n"
+    assert (home / "assets/part-0001/images/same.png").read_text() == "image 0003"
+    assert not (home / "assets/part-0001/images/unused.png").exists()
+    shown = json.loads((home / "manifest.json").read_text())
+    assert shown["source_name"] == "a.pdf" and shown["parts"][0]["page_end"] == 3 and "full_zip_url" not in (home / "manifest.json").read_text()
+    assert rows["a.pdf"]["enhanced"] and "> ## Document metadata" in (home / "full.enhanced.md").read_text()
+    assert "assets/part-0001/images/same.png" in (home / "full.enhanced.md").read_text()
+    assert set(jobs_of(engine)) == {"c.docx", "d.txt", "e.pdf"}  # what is done is exported and removed
+    assert not [p for p in (tmp_path / "state/assets").iterdir() if rows["a.pdf"]["job_id"] in p.name]
+    late = rows["e.pdf"]["job_id"]
+    parts = {r.part_index: r for r in engine.parts().where(F.col("job_id") == late).collect()}
+    assert {i: r.state for i, r in parts.items()} == {1: "done", 2: "failed", 3: "done"} and parts[2].error_code == "7" and parts[1].full_md
+    again = facade.Engine(spark, str(tmp_path / "state"), providers.Patient(providers.StubExtraction("running"), lambda s: None))
+    assert again.resume(late).first()["state"] == "pending"
+    assert {r.part_index: r.state for r in again.parts().where(F.col("job_id") == late).collect()} == {1: "done", 2: "waiting-file", 3: "done"}
+    with pytest.raises(facade.FolioError):
+        engine.status("nojob")
+
+
+class Broken(Service):
+    def download(self, url):
+        return {"docx": b"no archive", "0001": zipped({"../escape.txt": "bad", "full.md": "t"}), "0002": zipped({"x.md": "t"})}.get(url[-4:], b"no archive")
+
+
+def test_engine_refuses_bad_archives(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for n in (1, 2):
+        (source / f"{n}.pdf").write_bytes(pdf(n))
+    (source / "x.docx").write_bytes(b"word")
+    engine = facade.Engine(spark, str(tmp_path / "state"), providers.Patient(Broken(), lambda s: None))
+    engine.submit(str(source))
+    assert {r.state for r in engine.status().collect()} == {"pending"}
+    errors = {r.source_name: r.error_message for r in engine.jobs().collect()}
+    assert "unsafe" in errors["1.pdf"] and "expected one full.md" in errors["2.pdf"] and errors["x.docx"]
+    assert engine.merged().count() == 0
+
+
+class Letters:
+    """A file of letters, each a page."""
+
+    def count(self, content):
+        return len(content)
+
+    def cut(self, content, start, end):
+        if b"x" in content:
+            raise ValueError("can't be cut")
+        return content[start - 1 : end] * 3
+
+
+def test_engine_splits_large_files(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.pdf").write_bytes(b"abcdefghij")
+    (source / "b.pdf").write_bytes(b"xxxxxxxxxx")
+    engine = facade.Engine(spark, str(tmp_path / "state"), providers.Patient(Service(), lambda s: None), max_bytes=5, target_bytes=9, splitter=Letters())
+    engine.submit(str(source))
+    parts = sorted((r.part_index, r.page_start, r.page_end, r.physical, r.state, r.page_ranges) for r in engine.parts().collect())
+    assert parts == [(1, 1, 3, True, "waiting-file", None), (2, 4, 5, True, "waiting-file", None), (3, 6, 8, True, "waiting-file", None), (4, 9, 10, True, "waiting-file", None)]
+    assert [r.reason for r in engine.rejected().collect()] == ["can't be cut"]
+    with pytest.raises(facade.FolioError):
+        files.PdfSplitter().cut(b"%PDF", 1, 1)
+
+
+def test_patient_providers():
+    waits, said = [], iter([OSError("net"), {"code": -60009}, {"code": 0, "data": 1}])
+
+    class Flaky(providers.StubExtraction):
+        def batch_status(self, batch_id):
+            x = next(said)
+            if isinstance(x, Exception):
+                raise x
+            return x
+
+        def upload(self, url, content):
+            waits.append("put")
+            raise OSError("net")
+
+        def download(self, url):
+            raise facade_errors.HttpError(429, "slow down", "7")
+
+    p = providers.Patient(Flaky(), waits.append, lambda: 0)
+    assert p.batch_status("b")["data"] == 1 and waits == [1, 1]
+    with pytest.raises(OSError):
+        p.upload("https://x", b"")
+    assert waits[2:] == ["put", 1, "put", 2, "put", 4, "put"]
+    with pytest.raises(facade_errors.HttpError):
+        p.download("https://x")
+    assert waits[9:] == [7.0] * 4
+    with pytest.raises(ApiError):
+        p.download("http://x")
+
+
+def test_transports():
+    seen = []
+
+    def send(method, url, headers, body, timeout):
+        seen.append((method, url, headers.get("Authorization"), body))
+        if "chat" in url:
+            return json.dumps({"choices": [{"message": {"content": [{"text": "a"}, {"text": "b"}]}}]}).encode()
+        return 200 if method == "PUT" else b'{"code": 0}'
+
+    p = providers.HttpExtraction("https://api/v1/", "secret", send=send)
+    assert p.batch_status("b")["code"] == 0 and p.request_uploads("{}")["code"] == 0 and p.upload("https://s", b"x") == 200
+    assert [s[:3] for s in seen] == [("GET", "https://api/v1/extract-results/batch/b", "Bearer secret"), ("POST", "https://api/v1/file-urls/batch", "Bearer secret"), ("PUT", "https://s", None)]
+    assert "secret" not in repr(p)
+    chat = providers.HttpEnrichment("https://chat/", "key", "m", "what is it?", send=send)
+    assert chat.analyze_image("data:x") == "ab"
+    asked = json.loads(seen[-1][3])
+    assert asked["model"] == "m" and asked["messages"][0]["content"][0]["text"] == "what is it?" and asked["temperature"] == 0.2
+    with pytest.raises(ApiError):
+        providers.HttpExtraction("https://x", "t", send=lambda *a: b"<html>").batch_status("b")
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("FOLIOSPARK_CONFIG", str(tmp_path / "c.toml"))
+    monkeypatch.delenv(settings.ENVIRONMENT, raising=False)
+    (tmp_path / "a.pdf").write_bytes(pdf(2))
+    args = facade._parser().parse_args(["submit", "--root", "r", "x"])
+    assert not args.no_ocr and facade.DEFAULTS["is_ocr"] and args.model == "vlm"
+    assert facade.main(["submit", "--root", str(tmp_path / "s"), "--provider", "stub", str(tmp_path / "a.pdf")]) == 0
+    (job,) = json.loads(capsys.readouterr().out)
+    assert job["state"] == "pending" and job["options"]["is_ocr"]
+    for bad in (["status", "--root", str(tmp_path / "s"), "--no-refresh", "nojob"], ["clean", "--root", str(tmp_path / "s"), "../x"], ["submit", "--root", "r", "--provider", "https://x", "f"]):
+        assert facade.main(bad) == 1
+        assert set(json.loads(capsys.readouterr().err)) == {"error", "code"}
+    monkeypatch.setattr("sys.stdin", io.StringIO("tok\n"))
+    assert facade.main(["config", "set-token"]) == 0 and facade.main(["config", "show"]) == 0
+    shown = capsys.readouterr().out
+    assert '"effective_source": "config"' in shown and "tok\n" not in shown
+    assert facade.main(["config", "clear-token"]) == 0
+
+
+def test_pages_in_object_streams(spark):
+    import zlib
+
+    body = zlib.compress(b"<< /Type /Page >> << /Type /Page >> << /Type /Pages >>")
+    made = b"%PDF-1.5\n1 0 obj << /Type /ObjStm /Filter /FlateDecode >> stream\n" + body + b"\nendstream endobj"
+    assert files.count_pages(made) == 2
+    with pytest.raises(facade.FolioError):
+        files.count_pages(b"%PDF-1.5 nothing")
+
+
+def test_large_archives_stay_packed(spark):
+    rows = spark.createDataFrame([("a", zipped({"full.md": "x" * 1000}))], "path string, content binary")
+    assert [r.error for r in archive.unpacked(rows, limit=999).collect()] == ["too large unpacked"]
+    assert archive.unpacked(rows).first().content == b"x" * 1000
+
+
+def test_blank_texts_are_not_sent(spark):
+    docs = spark.createDataFrame([("a", " \n ")], "job_id string, full_md string")
+    images = spark.createDataFrame([], "job_id string, file string, content binary")
+
+    class Strict(providers.StubEnrichment):
+        def analyze_text(self, prompt):
+            raise ValueError("sent")
+
+    assert "sent" not in (facade.enhance(docs, images, Strict()).first().enhance_error or "")
