@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import io
+import shutil
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import links as L
 from ..functions import text as X
 from ..operators import archive, batching, enrich, merge, planning, state
-from ..sources import providers
+from ..sources import files, providers
 from ..streaming import fold
 from .proxies import event_state, line_parts, paged, sources, table
 
@@ -74,9 +79,10 @@ def merge_documents(spark, sf_dir):
 _STEM = """coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace({0}, '^(.+)\\.[^.]+$', '\\1'), '[^A-Za-z0-9_.-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 70), ''), 'document')"""
 
 
-@query(f"SELECT doc_id, {_STEM.format('name')} AS stem FROM (SELECT doc_id, replace(replace(substr(text, 1, 90), chr(10), ' '), '/', ' ') || '.pdf' AS name FROM documents)")
+@query(f"SELECT doc_id, {_STEM.format('name')} AS stem FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), '/', ' ') || '.pdf' AS name FROM documents)")
 def safe_stem(spark, sf_dir):
-    name = F.concat(F.translate(F.substring("text", 1, 90), "\n/", "  "), F.lit(".pdf"))
+    """The whole text as a file name."""
+    name = F.concat(F.translate("text", "\n/", "  "), F.lit(".pdf"))
     return table(spark, sf_dir, "documents").select("doc_id", X.safe_stem(name).alias("stem"))
 
 
@@ -136,7 +142,9 @@ def plan_parts(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(text) AS sha FROM documents")
 def sha256_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    """Texts as the contents of files."""
+    held = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return files.with_sha256(held).select("doc_id", F.col("source_sha256").alias("sha"))
 
 
 @query("SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -215,16 +223,24 @@ def event_last_state(spark, sf_dir):
 
 @query(ORACLE["event_last_state"])
 def stream_state_fold(spark, sf_dir):
-    """The same fold over the table read as a stream, to its end."""
+    """The same fold over the table read as a stream, to its end; each micro-batch goes into a table in the shared folder."""
     path = f"{sf_dir}/events.parquet"
-    batch = spark.read.parquet(path)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    checkpoint = f"{shared}/stream-{spark.sparkContext.applicationId}-{id(batch)}" if shared else tempfile.mkdtemp(prefix="foliospark-")
-    stream = spark.readStream.schema(batch.schema).parquet(path if _is_folder(spark, path) else path.rsplit("/", 1)[0] + "/events*.parquet")
-    states = fold.last_states(stream.withColumn("s", event_state(F.col("event_type"))), "user_id", "s", ["ts", "event_id"])
-    name = f"states_{abs(hash(checkpoint))}"
-    fold.run_available(states, name, checkpoint).awaitTermination()
-    return spark.table(name)
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else path.rsplit("/", 1)[0] + "/events*.parquet")
+    events = stream.withColumn("s", event_state(F.col("event_type")))
+    return fold.fold_into_table(events, "user_id", "s", ["ts", "event_id"], f"{_shared(spark)}/stream-{uuid.uuid4().hex}")
+
+
+def _shared(spark) -> str:
+    """The folder named by spark.checkpoint.dir; a local session without one gets its own, removed at exit."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="foliospark-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
 
 
 def _is_folder(spark, path: str) -> bool:
@@ -324,12 +340,12 @@ def _marked(spark, sf_dir):
     """Documents with links put in: an image of its own, one with query and fragment, a remote one, an anchor, one that is missing."""
     i = F.col("doc_id").cast("string")
     made = F.concat(
-        F.lit("![a](images/"), i, F.lit('.png "t")\n[q](files/a%20b.csv?v=1#f) [r](https://x.example/'), i, F.lit(") [s](#top) ![m](images/none.png)\n<img src='images/"), i, F.lit(".png'>\n"), F.substring("text", 1, 50)
+        F.lit("![a](images/"), i, F.lit('.png "t")\n[q](files/a%20b.csv?v=1#f) [r](https://x.example/'), i, F.lit(") [s](#top) ![m](images/none.png)\n<img src='images/"), i, F.lit(".png'>\n"), F.col("text")
     )
     return table(spark, sf_dir, "documents").select("doc_id", made.alias("md"))
 
 
-_MARKED = """marked AS (SELECT doc_id, '![a](images/' || doc_id || '.png "t")' || chr(10) || '[q](files/a%20b.csv?v=1#f) [r](https://x.example/' || doc_id || ') [s](#top) ![m](images/none.png)' || chr(10) || '<img src=''images/' || doc_id || '.png''>' || chr(10) || substr(text, 1, 50) AS md FROM documents)"""
+_MARKED = """marked AS (SELECT doc_id, '![a](images/' || doc_id || '.png "t")' || chr(10) || '[q](files/a%20b.csv?v=1#f) [r](https://x.example/' || doc_id || ') [s](#top) ![m](images/none.png)' || chr(10) || '<img src=''images/' || doc_id || '.png''>' || chr(10) || text AS md FROM documents)"""
 
 
 @query(f"WITH {_MARKED} SELECT doc_id, array_to_string(regexp_extract_all(md, '!?\\[[^\\]]*\\]\\(([^)\\s]+)(?:\\s+[^)]*)?\\)', 1), ' ') AS targets FROM marked")
@@ -501,4 +517,114 @@ def retry_predicates(spark, sf_dir):
     i = F.col("event_id")
     status = F.when(i % 7 == 0, 429).when(i % 100 < 50, 500 + i % 100).otherwise(400 + i % 20)
     url = F.concat(F.when(i % 2 == 0, "HTTPS://x/").otherwise("http://x/"), i.cast("string"))
-    return table(spark, sf_dir, "events").select("event_id", ((status == 429) | (status >= 500)).alias("retry"), F.lower(url).startswith("https://").alias("https"))
+    return table(spark, sf_dir, "events").select("event_id", providers.retryable(status).alias("retry"), providers.https(url).alias("https"))
+
+
+@query(
+    """SELECT event_id, CASE k WHEN 0 THEN 'ok' END AS answer, CASE k WHEN 1 THEN '-60009' WHEN 2 THEN '-60005' WHEN 3 THEN 'ApiError' END AS error_code,
+    CASE k WHEN 1 THEN 'busy' WHEN 2 THEN 'no; export Office files to PDF before another try' WHEN 3 THEN 'results are only fetched by https' END AS error_message, k = 1 AS transient
+    FROM (SELECT event_id, event_id % 4 AS k FROM events)"""
+)
+def call_outcomes(spark, sf_dir):
+    """Calls that are answered, refused for now, refused for their format, and not sent, each a row."""
+
+    def call(k: int) -> str:
+        if k == 3:
+            return providers.require_https("http://x")
+        return providers.checked({0: {"code": 0, "data": "ok"}, 1: {"code": -60009, "msg": "busy"}, 2: {"code": -60005, "msg": "no"}}[k])["data"]
+
+    asked = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).alias("k"))
+    return providers.called(asked, "k", call).select("event_id", "answer", "error_code", "error_message", F.coalesce(providers.transient(F.col("error_code")), F.lit(False)).alias("transient"))
+
+
+@query(
+    """WITH m AS (SELECT doc_id % 200 AS archive, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'out/full.md' ELSE 'out/' || doc_id || '.md' END AS name FROM documents),
+    n AS (SELECT archive, count(*) FILTER (name = 'out/full.md') AS n_found, min(doc_id) FILTER (name = 'out/full.md') AS one FROM m GROUP BY archive)
+    SELECT CAST(archive AS VARCHAR) AS archive, n_found, CASE WHEN n_found = 1 THEN text END AS full_md,
+    CASE WHEN n_found <> 1 THEN 'expected one full.md, found ' || n_found END AS error FROM n LEFT JOIN documents ON doc_id = one"""
+)
+def only_text(spark, sf_dir):
+    i = F.col("doc_id")
+    name = F.when(i % 3 == 0, "out/full.md").otherwise(F.concat(F.lit("out/"), i.cast("string"), F.lit(".md")))
+    members = table(spark, sf_dir, "documents").select((i % 200).cast("string").alias("archive"), name.alias("name"), F.encode("text", "UTF-8").alias("content"))
+    return merge.only_text(members, ["archive"])
+
+
+@query(
+    """SELECT page_id, html AS full_md, CASE WHEN page_id % 2 = 0 THEN 'images/x.png' END AS asset, CASE page_id % 5 WHEN 3 THEN 'unsafe member' WHEN 4 THEN 'archive' END AS error
+    FROM pages WHERE page_id % 5 < 3 UNION ALL SELECT page_id, NULL, NULL, CASE page_id % 5 WHEN 3 THEN 'unsafe member' ELSE 'broken' END FROM pages WHERE page_id % 5 >= 3"""
+)
+def result_archives(spark, sf_dir):
+    """Pages packed as results: texts and assets come out of whole archives, nothing out of unsafe or broken ones."""
+
+    def pack(batches):
+        for batch in batches:
+            made = []
+            for i, html in zip(batch["page_id"], batch["html"]):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("out/full.md", html)
+                    z.writestr("other.json", "{}")
+                    if i % 2 == 0:
+                        z.writestr("out/images/x.png", "x")
+                    if i % 5 == 3:
+                        z.writestr("../x", "x")
+                made.append(b"broken" if i % 5 == 4 else out.getvalue())
+            yield batch[["page_id"]].assign(content=made)
+
+    packed = table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(pack, "page_id long, content binary")
+    texts, assets = archive.result_parts(packed.select(F.col("page_id").cast("string").alias("path"), "content"))
+    both = texts.join(assets.select("path", F.col("relative_path").alias("asset")), "path", "left")
+    error = F.when(F.col("error") == "unsafe member", "unsafe member").when(F.col("error").isNotNull(), "broken")
+    return both.select(F.col("path").cast("long").alias("page_id"), "full_md", "asset", error.alias("error"))
+
+
+@query(
+    """SELECT conv_id, 'head' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '> ## Document metadata' || chr(10) || '>' || chr(10)
+    || '> ### Entities and terms' || chr(10) || '>' || chr(10) || '> | Name | Type | Description |' || chr(10) || '> | ---- | ---- | ---- |' || chr(10)
+    || string_agg('> | ' || role || ' | kind | ' || turn || ' \\| x |', chr(10) ORDER BY turn) || chr(10) || '>' || chr(10)
+    || '> ### Cross references' || chr(10) || '>' || chr(10) || string_agg('> - see ' || turn, chr(10) ORDER BY turn) || chr(10) || '>' || chr(10)
+    || '> ### Tags' || chr(10) || '>' || chr(10) || '> ' || string_agg('`#' || role || '`', ' ' ORDER BY turn) || chr(10) || '>' || chr(10)
+    || '> ### Images' || chr(10) || '>' || chr(10) || '> ````json' || chr(10) || '> [ {' || chr(10) || '>   "file" : "' || conv_id || '.png"' || chr(10) || '> } ]' || chr(10) || '> ````' || chr(10) AS block
+    FROM conversations GROUP BY conv_id"""
+)
+def render_metadata(spark, sf_dir):
+    """Entities, references, tags and images; references that are blank are left out."""
+    one = F.struct("turn", F.col("role").alias("name"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
+    text = lambda t: t["turn"].cast("string")
+    entities = F.transform("t", lambda t: F.struct(t["name"].alias("name"), F.lit(" kind").alias("type"), F.concat(text(t), F.lit(" | x")).alias("description")))
+    references = F.concat(F.array(F.lit("  ")), F.transform("t", lambda t: F.concat(F.lit(" see "), text(t))))
+    semantics = F.struct(
+        F.array().cast("array<struct<title:string,summary:string>>").alias("sections"), entities.alias("entities"), references.alias("cross_references"), F.transform("t", lambda t: F.concat(F.lit("#"), t["name"])).alias("tags")
+    )
+    shown = F.to_json(F.array(F.struct(F.concat(F.col("conv_id").cast("string"), F.lit(".png")).alias("file"))), {"pretty": "true"})
+    rows = rows.withColumns({"semantics": semantics, "images_json": shown})
+    return rows.select("conv_id", enrich.metadata_block(F.lit("head"), F.col("semantics"), F.col("images_json")).alias("block"))
+
+
+@query(
+    """SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN 'chart' END AS type, CASE WHEN vec_id % 5 <> 0 THEN 'n ' || label END AS summary, CASE WHEN vec_id % 5 <> 0 THEN 'a,b' END AS keywords,
+    CASE vec_id % 5 WHEN 0 THEN 'the answer is no JSON' END AS error FROM embeddings"""
+)
+def image_fields(spark, sf_dir):
+    """All fields of what is said of an image; an answer that is no JSON is an error."""
+    i, label = F.col("vec_id"), F.col("label").cast("string")
+    said = F.to_json(F.struct(F.lit("chart").alias("type"), F.concat(F.lit("n "), label).alias("summary"), F.array(F.lit("e")).alias("elements"), F.array(F.lit("f")).alias("key_findings"), F.array(F.lit("a"), F.lit("b")).alias("keywords")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit("f.png").alias("file"), F.when(i % 5 == 0, "sorry").otherwise(F.concat(F.lit("```json\n"), said, F.lit("\n```"))).alias("answer"), F.lit(None).cast("string").alias("error_message"))
+    return enrich.image_semantics(rows, "vec_id").select("vec_id", "type", "summary", F.array_join("keywords", ",").alias("keywords"), "error")
+
+
+@query(
+    """WITH p AS (SELECT page_id % 20 AS archive, 'out/assets/' || page_id || CASE page_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' ELSE '.txt' END AS name FROM pages)
+    SELECT CAST(archive AS VARCHAR) AS archive, name, CAST(row_number() OVER (PARTITION BY archive ORDER BY name) AS INTEGER) AS image_no FROM p WHERE name NOT LIKE '%.txt'"""
+)
+def asset_images(spark, sf_dir):
+    i = F.col("page_id")
+    name = F.concat(F.lit("out/assets/"), i.cast("string"), F.element_at(F.array(F.lit(".png"), F.lit(".JPG"), F.lit(".txt")), (i % 3 + 1).cast("int")))
+    return archive.images(table(spark, sf_dir, "pages").select((i % 20).cast("string").alias("archive"), name.alias("name")))
+
+
+@query("SELECT doc_id, string_agg('> ' || line, chr(10) ORDER BY i) AS quoted FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents) GROUP BY doc_id")
+def quote_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.quoted(F.col("text")).alias("quoted"))

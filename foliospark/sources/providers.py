@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -29,6 +29,8 @@ EXPORT_CODES = frozenset([-60005, -60006])
 #: Attempts and longest waits in seconds by kind of call.
 ATTEMPTS = {"http": (5, 15), "code": (4, 10), "upload": (4, 8), "chat": (4, 8)}
 UPLOADED = frozenset([200, 201, 204])
+TOO_MANY, SERVER_ERRORS = 429, 500
+SCHEME = "https://"
 
 
 class ExtractionProvider(Protocol):
@@ -47,8 +49,22 @@ class EnrichmentProvider(Protocol):
     def analyze_image(self, data_url: str) -> str: ...
 
 
-def retryable_status(status: int) -> bool:
-    return status == 429 or status >= 500
+def retryable_status(status):
+    """For an int, and for a column of them."""
+    return (status == TOO_MANY) | (status >= SERVER_ERRORS)
+
+
+def retryable(status: Column) -> Column:
+    return retryable_status(status)
+
+
+def transient(code: Column) -> Column:
+    """Whether an error code (text) is worth another try."""
+    return code.isin(*map(str, TRANSIENT_CODES))
+
+
+def https(url: Column) -> Column:
+    return F.lower(url).startswith(SCHEME)
 
 
 def checked(body: dict) -> dict:
@@ -93,7 +109,7 @@ def require_https(url: str) -> str:
 
 
 def is_https(url: str) -> bool:
-    return url.lower().startswith("https://")
+    return url.lower().startswith(SCHEME)
 
 
 class Patient:

@@ -20,9 +20,22 @@ def deduplicated(events: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     return timed.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def run_available(states: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Folds all that is there into an in-memory table, and ends."""
-    return states.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def fold_into_table(events: DataFrame, key: str, state: str, order: list[str], folder: str) -> DataFrame:
+    """key, state and n_events of a stream of events, read to its end.
+
+    Each micro-batch is folded by itself and added to a table under folder, one row for each key; the table is folded
+    again when it is read, so neither the state store nor the driver holds the keys. A micro-batch that is run again after a failure
+    replaces what it wrote before.
+    """
+    spark = events.sparkSession
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        part = batch.groupBy(key).agg(F.max(F.struct(*order, F.col(state).alias("state"))).alias("last"), F.count("*").alias("n"))
+        part.write.mode("overwrite").parquet(f"{folder}/states/epoch={epoch}")
+
+    events.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.parquet(f"{folder}/states")
+    return kept.groupBy(key).agg(F.max("last").getField("state").alias("state"), F.sum("n").alias("n_events"))
 
 
 def on_completion(states: DataFrame, done: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
