@@ -28,15 +28,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER_ONLY, BYTE_HASH, Words, bounded_batches, cut, list_array, mix, power_tables, ranges, text_chunks, tidied
+from .common import ALNUM_LOWER_ONLY, BYTE_HASH, Words, bounded_batches, cut, give_back, list_array, mix, power_tables, ranges, text_chunks, tidied
 
 EXAMPLES = 2_000
 NEIGHBOURS = 15
 BLOCK = 64
 HEAD = 4
+#: Examples by likeness to which the index is put in order, lists kept by block at most, and texts searched for at once.
+PIVOTS = 32
+LONG_LISTS = 2_048
+QUERIES = 64
+#: More than the share by which sums of LONG_LISTS products of positive numbers in single precision can be off, twice.
+MARGIN = 4e-4
+#: Texts whose scores a worker keeps, for the next copy.
+KNOWN = 20_000
 PREFIXES = (4, 5, 6)
 
 
@@ -134,21 +143,99 @@ def _frequencies(wanted):
 # ---------------------------------------------------------------- index
 
 
-@dataclass
 class Index:
-    """Postings by feature and block of examples, with the largest weight of each; only cells that have postings are kept."""
-
-    idf: np.ndarray
-    labels: np.ndarray
-    ids: np.ndarray
-    blocks: int
-    #: Cells of feature k are first[k] to first[k + 1]; postings of cell c are edge[c] to edge[c + 1].
-    first: np.ndarray
-    block: np.ndarray
-    most: np.ndarray
-    edge: np.ndarray
-    example: np.ndarray
-    weight: np.ndarray
+    """Inverted lists of the examples' features, in blocks of `BLOCK` examples.
+
+    Examples stand in the order of their likeness to a few of them, so that a block holds what is alike and its maxima are
+    tight. Long lists are kept by block, with the largest weight in each: a bound of what a block can add. Short lists,
+    with hardly more postings than blocks, are read whole. A search adds up the short lists, looks into the blocks with the
+    largest bounds, and then into all that can still change the nearest. What it finds so, in single precision, decides only
+    who is compared; cosines and their order come from the whole vectors in double precision.
+    """
+
+    def __init__(self, edge: np.ndarray, f: np.ndarray, n: np.ndarray, labels: np.ndarray, ids: np.ndarray, idf: np.ndarray):
+        """Features and counts of the examples end to end, in order of example and feature."""
+        self.edge, self.f, self.n = edge, f.astype(np.int32), n.astype(np.int32)
+        self.labels, self.ids, self.idf = labels, ids, idf
+        self._weigh()
+        size = len(labels)
+        #: The first example with the same vector; it is compared for all of them.
+        first: dict[bytes, int] = {}
+        self.same = np.array([first.setdefault(xxhash.xxh3_128_digest(self.f[a:b].tobytes() + self.n[a:b].tobytes()), k) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:]))], np.int64)
+        at = np.arange(min(PIVOTS, size)) * size // max(1, min(PIVOTS, size))
+        near, group = np.zeros(size), np.zeros(size, np.int64)
+        for k, pivot in enumerate(at.tolist()):
+            mine = slice(edge[pivot], edge[pivot + 1])
+            cosine = np.bincount(self._row(), self._products(self.f[mine], self.weight[mine], slice(None)), size)
+            group, near = np.where(cosine > near, k, group), np.maximum(cosine, near)
+        #: Examples by place.
+        self.row = np.lexsort((-near, group))
+        posted = np.bincount(self.f, minlength=len(idf))
+        common = np.argsort(-posted, kind="stable")[:LONG_LISTS]
+        common = common[posted[common] > -(-size // BLOCK) // 2]
+        self.column = np.full(len(idf), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.n_long = len(common)
+        short = np.flatnonzero(self.column[self.f] < 0).astype(np.int32)
+        self.posting = short[np.argsort(self.f[short], kind="stable")]
+        self.first = np.searchsorted(self.f[self.posting], np.arange(len(idf) + 1))
+        self._lists()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "_tables", "_room", "place", "short")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._weigh()
+        self._lists()
+
+    def _row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.labels), dtype=np.int32), np.diff(self.edge))
+
+    def _weigh(self) -> None:
+        """The examples' weights, of length 1 each."""
+        self._tables = self._room = None
+        row = self._row()
+        self.weight = (1 + np.log(np.maximum(self.n, 1))) * self.idf[self.f]
+        length = np.sqrt(np.bincount(row, self.weight * self.weight, len(self.labels)))
+        self.weight /= np.where(length > 0, length, 1)[row]
+
+    def _lists(self) -> None:
+        """Places and weights of the short lists."""
+        self.place, self.short = self._places()[self._row()[self.posting]], self.weight[self.posting]
+
+    def _places(self) -> np.ndarray:
+        place = np.empty(len(self.row), np.int32)
+        place[self.row] = np.arange(len(self.row))
+        return place
+
+    def _products(self, f: np.ndarray, q: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+        """The weights at some places of the examples' vectors times those that a vector gives their features."""
+        self._spread(f, q)
+        out = self._room[self.f[at]] * self.weight[at]
+        self._room[f] = 0
+        return out
+
+    def _spread(self, f: np.ndarray, q: np.ndarray) -> None:
+        if self._room is None:
+            self._room = np.zeros(len(self.idf))
+        self._room[f] = q
+
+    @property
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The long lists' weights by block, feature and example, and their maxima by feature and block."""
+        if self._tables is None:
+            blocks = max(1, -(-len(self.row) // BLOCK))
+            weights = np.zeros((blocks, self.n_long, BLOCK), np.float32)
+            long = np.flatnonzero(self.column[self.f] >= 0)
+            at = self._places()[self._row()[long]]
+            weights[at // BLOCK, self.column[self.f[long]], at % BLOCK] = self.weight[long]
+            self._tables = weights, np.ascontiguousarray(weights.max(2, initial=0).T)
+        return self._tables
+
+    def close(self) -> None:
+        """Lets go of what a search sets up for itself."""
+        self._tables = self._room = None
 
     def vector(self, f: np.ndarray, n: np.ndarray) -> np.ndarray:
         v = (1 + np.log(np.maximum(n, 1))) * self.idf[f]
@@ -156,68 +243,74 @@ class Index:
         return v / length if length else v
 
     def nearest(self, f: np.ndarray, n: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosines above 0, ties to the smaller place, and the cosines."""
-        q = self.vector(f, n)
-        cells = self.first[f + 1] - self.first[f]
-        cell, q = np.repeat(self.first[f], cells) + ranges(cells), np.repeat(q, cells)
-        block = self.block[cell]
-        bound = np.bincount(block, q * self.most[cell], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, cosine = self._best(cell, q, block, order[:HEAD], k, skip)
-        least = cosine[-1] - 1e-9 if len(best) >= k else 0.0
-        rest = order[HEAD:]
-        rest = rest[bound[rest] >= least]
-        if len(rest):
-            more, others = self._best(cell, q, block, rest, k, skip)
-            best, cosine = np.concatenate([best, more]), np.concatenate([cosine, others])
-            top = np.lexsort((best, -np.round(cosine, 12)))[:k]
-            best, cosine = best[top], cosine[top]
-        return best, cosine
-
-    def _best(self, cell: np.ndarray, q: np.ndarray, block: np.ndarray, blocks: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best k of some blocks: their postings are gathered at once."""
-        wanted = np.zeros(self.blocks, bool)
-        wanted[blocks] = True
-        mine = wanted[block]
-        cell, q = cell[mine], q[mine]
-        n = self.edge[cell + 1] - self.edge[cell]
-        place = np.repeat(self.edge[cell], n) + ranges(n)
-        score = np.bincount(self.example[place], np.repeat(q, n) * self.weight[place], len(self.labels))
-        if skip >= 0:
-            score[skip] = 0
-        hit = np.flatnonzero(score > 0)
-        if len(hit) > k:  # all that can be among the best after rounding
-            hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k] - 1e-11]
-        top = hit[np.lexsort((hit, -np.round(score[hit], 12)))[:k]]
-        return top, score[top]
+        return self.nearest_many([(f, n)], k, [skip])[0]
+
+    def nearest_many(self, queries: list[tuple], k: int, skips: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each (features, counts) the k examples with the largest cosines above 0, ties to the smaller example, and the cosines."""
+        weights, most = self.tables
+        blocks, size = len(weights), len(weights) * BLOCK
+        vectors = [self.vector(f, n) for f, n in queries]
+        long = np.zeros((len(queries), self.n_long), np.float32)
+        scores = np.zeros((len(queries), size), np.float32)
+        for i, ((f, _), q) in enumerate(zip(queries, vectors)):
+            column = self.column[f]
+            long[i, column[column >= 0]] = q[column >= 0]
+            f, q = f[column < 0], q[column < 0]
+            n = self.first[f + 1] - self.first[f]
+            at = np.repeat(self.first[f], n) + ranges(n)
+            scores[i] = np.bincount(self.place[at], np.repeat(q, n) * self.short[at], size)
+        bound = long @ most + scores.reshape(len(queries), blocks, BLOCK).max(2)
+        scored = np.zeros((len(queries), blocks), bool)
+        left = scores.reshape(len(queries), blocks, BLOCK)
+
+        def look(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                who = np.flatnonzero(wanted[:, b])
+                left[who, b] += long[who] @ weights[b]
+            scored[wanted] = True
+
+        if skips is not None:
+            hidden = [(i, int(np.flatnonzero(self.row == s)[0])) for i, s in enumerate(skips) if s >= 0]
+        else:
+            hidden = []
+
+        def least() -> np.ndarray:
+            seen = np.where(np.repeat(scored, BLOCK, axis=1), scores, 0)
+            for i, at in hidden:
+                seen[i, at] = 0
+            return np.partition(seen, size - k, axis=1)[:, size - k] if size >= k else np.zeros(len(queries), np.float32)
+
+        head = np.zeros_like(scored)
+        np.put_along_axis(head, np.argpartition(-bound, min(HEAD, blocks) - 1, axis=1)[:, : min(HEAD, blocks)], True, axis=1)
+        look(head)
+        look(~scored & (bound > 0) & (bound >= least()[:, None] * (1 - MARGIN)))
+        kth = least()
+        for i, at in hidden:
+            scores[i, at] = 0
+        return [self._compared(f, q, np.flatnonzero(np.repeat(scored[i], BLOCK) & (scores[i] > 0) & (scores[i] >= kth[i] * (1 - MARGIN))), k) for i, ((f, _), q) in enumerate(zip(queries, vectors))]
+
+    def _compared(self, f: np.ndarray, q: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.row[places]
+        of, back = np.unique(self.same[rows], return_inverse=True)
+        self._spread(f, q)
+        ranges_ = zip(self.edge[of].tolist(), self.edge[of + 1].tolist())
+        cosine = np.array([self._room[self.f[a:b]] @ self.weight[a:b] for a, b in ranges_], np.float64)[back]
+        self._room[f] = 0
+        top = np.lexsort((rows, -np.round(cosine, 12)))[:k]
+        return rows[top], cosine[top]
 
 
 def build_index(rows: list[tuple], labels: np.ndarray, ids: np.ndarray, idf: np.ndarray) -> Index:
     """rows: (features, counts) of the examples in order."""
-    blocks = max(1, -(-len(rows) // BLOCK))
-    none = np.zeros(0, np.int64)
-    index = Index(idf, labels, ids, blocks, none, none, none, none, none, none)
-    f = np.concatenate([none, *[np.asarray(r[0], np.int64) for r in rows]])
-    e = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    v = np.concatenate([np.zeros(0), *[index.vector(np.asarray(r[0], np.int64), np.asarray(r[1])) for r in rows]])
-    order = np.lexsort((e, f))
-    f, e, v = f[order], e[order], v[order]
-    index.example, index.weight = e.astype(np.int32), v
-    cell, begin = np.unique(f * blocks + e // BLOCK, return_index=True)
-    index.edge = np.append(begin, len(f))
-    index.block = (cell % blocks).astype(np.int32)
-    index.first = np.searchsorted(cell // blocks, np.arange(len(idf) + 1))
-    index.most = np.maximum.reduceat(v, begin) if len(v) else np.zeros(0)
-    return index
-
-
-def _vote(index: Index, f: np.ndarray, n: np.ndarray, k: int, skip: int = -1) -> tuple[float, np.ndarray]:
-    """The neighbours' cosines, for label 1 less those for 0, as a share of k; the neighbours."""
-    if not len(f):
-        return 0.0, np.zeros(0, np.int64)
-    best, cosine = index.nearest(f, n, k, skip)
-    return round(float(cosine @ (2 * index.labels[best] - 1)) / k, 9), best
+    f, n = (np.concatenate([np.zeros(0, np.int64), *[np.asarray(r[i], np.int64) for r in rows]]) for i in (0, 1))
+    return Index(np.cumsum([0, *[len(r[0]) for r in rows]]), f, n, labels, ids, idf)
+
+
+def _votes(index: Index, queries: list[tuple], k: int, skips: list[int] | None = None):
+    """For each query the neighbours' cosines, for label 1 less those for 0, as a share of k; and the neighbours."""
+    for at in range(0, len(queries), QUERIES):
+        for best, cosine in index.nearest_many(queries[at : at + QUERIES], k, skips and skips[at : at + QUERIES]):
+            yield round(float(cosine @ (2 * index.labels[best] - 1)) / k, 9), best
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,20 +341,16 @@ class Model:
     values: np.ndarray
     k: int
 
-    def score(self, f: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray]:
-        if not hasattr(self, "known"):
+    def scores(self, vectors: list[tuple]) -> list[tuple[float, np.ndarray]]:
+        """Score and nearest examples of each vector; equal vectors are searched for once."""
+        if not hasattr(self, "known") or len(self.known) > KNOWN:
             self.known: dict[bytes, tuple[float, np.ndarray]] = {}
-        key = f.tobytes() + n.tobytes()
-        if key not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            self.known[key] = self._score(f, n)
-        return self.known[key]
-
-    def _score(self, f: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray]:
-        vote, best = _vote(self.index, f, n, self.k)
-        at = max(0, int(np.searchsorted(self.starts, vote, "right")) - 1)
-        return (float(self.values[at]) if len(self.values) else 0.0), best
+        keys = [xxhash.xxh3_128_digest(f.tobytes() + n.tobytes()) for f, n in vectors]
+        new = {key: v for key, v in zip(keys, vectors) if key not in self.known}
+        for key, (vote, best) in zip(new, _votes(self.index, list(new.values()), self.k)):
+            at = max(0, int(np.searchsorted(self.starts, vote, "right")) - 1)
+            self.known[key] = (float(self.values[at]) if len(self.values) else 0.0), best
+        return [self.known[key] for key in keys]
 
 
 def _score_rows(held):
@@ -270,8 +359,7 @@ def _score_rows(held):
         for batch in batches:
             scores, evidence, sizes = [], [], []
             for row, end, data, offsets in text_chunks(batch.column(1)):
-                for f, n in _vectors(data, offsets, model.vocabulary):
-                    s, best = model.score(f, n)
+                for s, best in model.scores(list(_vectors(data, offsets, model.vocabulary))):
                     scores.append(s)
                     evidence.append(model.index.ids[best[:3]])
                     sizes.append(len(evidence[-1]))
@@ -322,10 +410,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     found = found.orderBy(F.xxhash64("id"), "id").toArrow()
     y = np.asarray(found["y"]).astype(float)
     edge = np.append(0, np.cumsum(np.asarray(pc.list_value_length(found["f"])))).astype(np.int64)
-    f, n = (np.concatenate([np.zeros(0, np.int32), *[np.asarray(c.flatten()) for c in found[x].chunks]]).astype(np.int64) for x in ("f", "n"))
-    vectors = [(f[a:b], n[a:b]) for a, b in zip(edge[:-1], edge[1:])]
-    index = build_index(vectors, y, np.asarray(found["id"]).astype(np.int64), idf)
-    votes = np.array([_vote(index, f, n, k, skip)[0] for skip, (f, n) in enumerate(vectors)])
+    f, n = (np.concatenate([np.zeros(0, np.int32), *[np.asarray(c.flatten()) for c in found[x].chunks]]) for x in ("f", "n"))
+    index = Index(edge, f, n, y, np.asarray(found["id"]).astype(np.int64), idf)
+    del found, counts, seen, f, n
+    each = [(index.f[a:b], index.n[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+    votes = np.array([vote for vote, _ in _votes(index, each, k, list(range(len(each))))])
+    index.close()
+    held.unpersist()
+    give_back()
     weight = {v: share.get(v, 0) / max(1, size.get(v, 0)) for v in (0, 1)}
     starts, values = isotonic(votes, y, np.array([weight[int(v)] for v in y])) if len(y) else (np.zeros(0), np.zeros(0))
     return Model(vocabulary, index, starts, values, k)
@@ -351,7 +443,7 @@ def _reject(held, at_text: int):
         for batch in batches:
             keep = []
             for _, _, data, offsets in text_chunks(batch.column(at_text)):
-                keep += [model.score(f, n)[0] < 0.5 for f, n in _vectors(data, offsets, model.vocabulary)]
+                keep += [s < 0.5 for s, _ in model.scores(list(_vectors(data, offsets, model.vocabulary)))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
