@@ -2,17 +2,19 @@
 
 A document is the sequence of its lines that have words. From each line a window reaches to
 the right over the fewest lines with `MIN_WORDS` words in all, and from each line one reaches to
-the left. The smallest line hash in a window is its fingerprint; every run of lines that has
-`MIN_WORDS` words and occurs twice holds a whole window at both places, so both places choose
-the same line: no such run escapes. Positions are joined by fingerprint, windows that chose
-it are held against each other by their contents, and as windows begin at the run's first
-line and others end at its last, together they extend the match to both ends of the run.
+the left. The smallest line hash in a window (of equal ones the first) is selected as its fingerprint; every run of
+lines that has `MIN_WORDS` words and occurs twice holds a whole window at both places, so both places select the same
+line of it: no such run escapes. Positions are joined by fingerprint: one that a single position has goes,
+with all the windows that selected it. From the positions that are left matches are extended to both sides, to the ends of
+the windows around them, whose contents are compared in 128 bits; as windows begin at the run's first
+line and others end at its last, together they reach both ends of the run.
 
 Of equal windows the first, in the order of doc_id and line, stays; the lines of every later
 one are deleted. What is deleted is therefore always still there at an earlier place.
 
-Nothing is collected by group: the first window of each kind comes from an aggregation that
-combines before its shuffle, and finds its way back by an equi-join that may be split.
+Windows are formed once and written to the shared folder. Nothing is collected by group: the first and last position of a
+fingerprint and the first window of each content come from aggregations that combine before their shuffle. Fingerprints
+are broadcast up to a number, else joined by a shuffle; contents find their way back by an equi-join that may be split.
 
 Defined results: null text stays null, empty text empty; rows that are equal in doc_id and
 text count as one document and stay alike; rows that share a doc_id with different texts are
@@ -26,7 +28,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 MIN_WORDS = 50
+#: Fingerprints of several positions are broadcast up to this number.
+MAX_BROADCAST_PRINTS = 1_000_000
 _BLANK = r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$"
 _ROW = ["line_doc", "line_text"]
 
@@ -50,14 +56,14 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """fingerprint, content, document, first and last line of the windows of every document."""
+    """Fingerprint and its position, content, first and last line, and document of the windows of every document."""
     right = Window.partitionBy(*_ROW).orderBy("before").rangeBetween(0, min_words - 1)
     left = Window.partitionBy(*_ROW).orderBy("done").rangeBetween(1 - min_words, 0)
 
     def over(w, kind: str) -> dict:
         return {
             f"{kind}_sum": F.sum("words").over(w),
-            f"{kind}_low": F.min("h").over(w),
+            f"{kind}_low": F.min(F.struct("h", "pos")).over(w),
             f"{kind}_all": F.xxhash64(F.collect_list("h2").over(w)),
             f"{kind}_from": F.first("pos").over(w),
             f"{kind}_to": F.last("pos").over(w),
@@ -67,7 +73,7 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # a window to the left that would do without its last line starts no window to the right
     kinds = F.array(
         *[
-            F.when(keep, F.struct(*[F.col(f"{k}_{a}").alias(b) for a, b in (("low", "fingerprint"), ("all", "content"), ("from", "first"), ("to", "last"))]))
+            F.when(keep, F.struct(*[F.col(f"{k}_{a}").alias(b) for a, b in (("low.h", "fingerprint"), ("low.pos", "at"), ("all", "content"), ("from", "first"), ("to", "last"))]))
             for k, keep in (
                 ("right", F.col("right_sum") >= min_words),
                 ("left", (F.col("left_sum") - F.col("words") >= min_words)),
@@ -78,9 +84,17 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.select("k.*", *_ROW)
 
 
+def matched(found: DataFrame) -> DataFrame:
+    """The windows whose fingerprint was selected at several positions."""
+    place = F.struct(*_ROW, "at")
+    shared = found.groupBy("fingerprint").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("fingerprint")
+    shared = cut(shared)
+    return found.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST_PRINTS else shared, "fingerprint", "left_semi")
+
+
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """line_doc, line_text and the positions of lines to delete, a row for each document with any."""
-    found = windows(docs, min_words)
+    found = matched(cut(windows(docs, min_words)))
     place = F.struct(*_ROW, "first")
     first = found.groupBy("fingerprint", "content").agg(F.min(place).alias("place"), F.count("*").alias("n"))
     first = first.where("n > 1").drop("n")

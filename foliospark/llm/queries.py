@@ -99,7 +99,8 @@ QUERIES["op7_quality"] = op7_quality
 
 def op8_lines(spark, sf_dir):
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_deleted", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
 QUERIES["op8_lines"] = op8_lines
