@@ -111,6 +111,18 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -50, 50)))
 
 
+def likelihood(score: np.ndarray, y: np.ndarray, share: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The negative log likelihood of grades y, weighted by share, and its slopes by score and by threshold."""
+    n, k = len(y), len(thresholds) + 1
+    edge = np.concatenate([np.full((n, 1), -50.0), np.clip(thresholds[None, :] - score[:, None], -50, 50), np.full((n, 1), 50.0)], axis=1)
+    p = 1 / (1 + np.exp(-edge))
+    slope = p * (1 - p)
+    mine = np.arange(n)
+    chance = np.maximum(p[mine, y + 1] - p[mine, y], 1e-12)
+    up, low = slope[mine, y + 1] / chance * share, slope[mine, y] / chance * share
+    return float(-(share * np.log(chance)).sum()), up - low, np.array([low[y == j + 1].sum() - up[y == j].sum() for j in range(k - 1)])
+
+
 def _fit(rows: np.ndarray, f: np.ndarray, v: np.ndarray, y: np.ndarray, share: np.ndarray, grades: np.ndarray) -> Model:
     """Maximum likelihood by Adam; thresholds are a first one and positive gaps."""
     n, k = len(y), len(grades)
@@ -124,14 +136,7 @@ def _fit(rows: np.ndarray, f: np.ndarray, v: np.ndarray, y: np.ndarray, share: n
     for step in range(1, STEPS + 1):
         t = thresholds()
         score = np.add.reduceat(v * w[f], begin)
-        edge = np.concatenate([np.full((n, 1), -50.0), np.clip(t[None, :] - score[:, None], -50, 50), np.full((n, 1), 50.0)], axis=1)
-        p = 1 / (1 + np.exp(-edge))
-        slope = p * (1 - p)
-        mine = np.arange(n)
-        chance = np.maximum(p[mine, y + 1] - p[mine, y], 1e-12)
-        up, low = slope[mine, y + 1] / chance * share, slope[mine, y] / chance * share
-        g_score = up - low  # of the negative log likelihood
-        g_t = np.array([low[y == j + 1].sum() - up[y == j].sum() for j in range(k - 1)])
+        _, g_score, g_t = likelihood(score, y, share, t)
         g_gap = np.cumsum(g_t[::-1])[::-1]
         g_gap[1:] *= 1 / (1 + np.exp(-gaps[1:]))
         g = np.concatenate([np.bincount(f, v * np.repeat(g_score, np.diff(np.append(begin, len(f)))), len(w)) + RIDGE * w, g_gap])

@@ -604,3 +604,183 @@ def test_empty_tables(spark):
     ]
     assert [df.count() for df in made] == [0] * len(made)
     assert not any(r.contaminated for r in decontam.contamination(docs_of(spark, EDGE), bench).collect())
+
+
+# ---------------------------------------------------------------- more of each
+
+
+def test_pieces_of_extreme_draws(monkeypatch):
+    """The smallest and the largest draw stay within their node, and decode to the text."""
+    lattice = pieces.Lattice(pieces.default_model(), 1.0)
+    text = "within the ñ 🙂 unbelievable xyzzy " * 3
+    for u in (0, (1 << 64) - 1):
+        monkeypatch.setattr(pieces, "mix", lambda h, u=u: np.full(len(h), u, np.uint64))
+        numbers = lattice._numbers(pieces._SEGMENT.findall(f" {text}")) if u == 0 else numbers
+        ids, each = lattice._draw(numbers, np.zeros(len(numbers), np.uint64))
+        assert lattice.decode(ids, np.array([len(ids)]))[0] == text.encode()
+
+
+def test_pieces_do_not_depend_on_what_was_met(monkeypatch):
+    """A row is cut the same way by a fresh worker, one that has met many words, and one that forgets after each."""
+    texts, keys = [prose(200, k) + " wörter 🙂" for k in range(5)], np.arange(5)
+    fresh = pieces.Lattice(pieces.default_model(), 1.0)
+    want = [x.tolist() for x in fresh.sample(texts, keys)]
+    used = pieces.Lattice(pieces.default_model(), 1.0)
+    monkeypatch.setattr(pieces, "MAX_EDGES", 1 << 40)
+    for k in range(3):
+        used.sample([" ".join(f"word{k}x{j}" for j in range(10_000))], np.zeros(1, np.int64))
+    assert used.nodes > 300_000 and not used.number.keys() & fresh.number.keys()
+    assert [x.tolist() for x in used.sample(texts, keys)] == want
+    monkeypatch.setattr(pieces, "MAX_EDGES", 1)
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 50)
+    assert [x.tolist() for x in pieces.Lattice(pieces.default_model(), 1.0).sample(texts, keys)] == want
+
+
+def odd_rows(spark, texts):
+    """Rows with a repeated id, a null id, and ids of their own."""
+    rows = docs_of(spark, texts)
+    return rows.unionByName(docs_of(spark, texts[:2])).unionByName(docs_of(spark, [texts[0], None]).withColumn("doc_id", F.lit(None).cast("long")))
+
+
+def test_odd_ids(spark):
+    """Every row comes back once, whatever its id; rows that are equal have equal results."""
+    texts = [prose(30, 1) + " token=abcdef123", prose(30, 2), "", None]
+    df, n = odd_rows(spark, texts), 8
+    bench = spark.createDataFrame([(1, " ".join(texts[0].split()[3:20]))], "item_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, toxic int").withColumn("quality", F.col("toxic"))
+    made = {
+        "pieces": pieces.encode(df).select("doc_id", "pieces"), "tokens": tokencount.count_tokens(df), "secrets": secrets.find_secrets(df), "toxicity": neighbours.toxicity(df, labels), "quality": quality.grade(df, labels),
+        "contamination": decontam.contamination(df, bench), "fingerprints": fingerprint.fingerprints(df).select("doc_id", "n_chars", "fingerprint"), "lines": linededup.dedup_lines(df), "minhash": minhash.near_duplicates(df),
+    }
+    for name, out in made.items():
+        ids = collections.Counter(r.doc_id for r in out.collect())
+        assert ids == {0: 2, 1: 2, 2: 1, 3: 1, None: 2}, name
+        if name not in ("lines", "minhash"):
+            assert out.where("doc_id = 0").distinct().count() == 1, name
+    assert made["secrets"].where("doc_id is null and n_assign = 1").count() == 1
+    assert made["contamination"].where("contaminated").count() == 3
+
+
+def test_scores_of_empty_texts(spark):
+    """A null text scores as an empty one, by the share of its label."""
+    texts = [prose(20, k) + (" idiot" if k % 4 == 0 else "") for k in range(120)] + [None, "", " \n "]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(120)], "doc_id long, toxic int").withColumn("quality", 1 - F.col("toxic"))
+    scores = {i: r.score for i, r in rows_of(neighbours.toxicity(docs_of(spark, texts), labels)).items()}
+    assert scores[120] == scores[121] == scores[122] < 0.5
+    grades = {i: r.expected_grade for i, r in rows_of(quality.grade(docs_of(spark, texts), labels)).items()}
+    assert grades[120] == grades[121] == grades[122]
+
+
+def test_toxicity_by_brute_force(spark):
+    """Vocabulary, frequencies, weights, neighbours, votes and calibration, each counted again by plain loops."""
+    texts = [prose(12, k) + (" clown" if k % 5 == 0 else "") for k in range(90)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(90)], "doc_id long, toxic int")
+    learnt = [k for k in range(90) if zlib.crc32(str(k).encode()) % 5]
+
+    def counts(text):
+        out = collections.Counter()
+        for w in words10(text):
+            b = w.encode()
+            out.update([b, *[(p, b[:p]) for p in (4, 5, 6) if len(b) > p]])
+        return out
+
+    each = [counts(t) for t in texts]
+    n1, n0 = sum(k % 5 == 0 for k in learnt), sum(k % 5 > 0 for k in learnt)
+    weight = {}
+    for f in {f for k in learnt for f in each[k]}:
+        n, a = sum(f in each[k] for k in learnt), sum(f in each[k] for k in learnt if k % 5 == 0)
+        below = n * (n0 + n1 - n) * n0 * n1
+        chi = (n0 + n1) * (a * (n0 - n + a) - (n - a) * (n1 - a)) ** 2 / below if below else 0
+        weight[f] = (np.log((1 + 90) / (1 + sum(f in c for c in each))) + 1) * (1 + np.log1p(chi))
+
+    def vector(k):
+        v = {f: (1 + np.log(n)) * weight[f] for f, n in each[k].items() if f in weight}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {f: x / size for f, x in v.items()}
+
+    vectors = {k: vector(k) for k in range(90)}
+
+    def vote(k, among):
+        near = sorted(((round(sum(x * vectors[j].get(f, 0) for f, x in vectors[k].items()), 12), j) for j in among), key=lambda p: -p[0])[:15]
+        return sum(c * (1 if j % 5 == 0 else -1) for c, j in near if c > 0) / 15
+
+    model = neighbours.fit(docs_of(spark, texts), labels)
+    got = rows_of(neighbours.toxicity(docs_of(spark, texts), labels))
+    own = np.array([vote(k, [j for j in learnt if j != k]) for k in learnt])
+    starts, values = neighbours.isotonic(np.round(own, 9), np.array([float(k % 5 == 0) for k in learnt]), np.ones(len(learnt)))
+    assert np.allclose(starts, model.starts, atol=1e-8) and np.allclose(values, model.values)
+    for k in range(90):
+        want = values[max(0, np.searchsorted(starts, round(vote(k, learnt), 9) + 1e-9, "right") - 1)]
+        assert abs(got[k].score - want) < 1e-9
+
+
+def test_quality_by_brute_force():
+    """Likelihood and slopes against plain loops and differences, a fit that can't be bettered by much, and a long text's score."""
+    r = np.random.default_rng(2)
+    score, y, share, t = r.normal(size=30), r.integers(0, 4, 30), r.random(30) + 0.5, np.array([-1.0, 0.2, 1.5])
+
+    def loss(score, t):
+        edges, out = [-np.inf, *t, np.inf], 0.0
+        for x, k, s in zip(score, y, share):
+            out -= s * np.log(1 / (1 + np.exp(-(edges[k + 1] - x))) - 1 / (1 + np.exp(-(edges[k] - x))))
+        return out
+
+    got, by_score, by_t = quality.likelihood(score, y, share, t)
+    assert np.isclose(got, loss(score, t))
+    for slopes, at in ((by_score, 0), (by_t, 1)):
+        for k in range(len(slopes)):
+            moved = [[x.copy() for x in (score, t)] for _ in range(2)]
+            moved[0][at][k] += 1e-5
+            moved[1][at][k] -= 1e-5
+            assert np.isclose(slopes[k], (loss(*moved[0]) - loss(*moved[1])) / 2e-5, atol=1e-4)
+    f, v = np.tile(np.arange(5), 200), r.random(1000)
+    grades = np.digitize(v.reshape(200, 5) @ np.array([3.0, -2, 1, 0, 0]) + 0.7 * r.logistic(size=200), [0.5, 1.5])
+    model = quality._fit(np.repeat(np.arange(200), 5), f, v, grades, np.ones(200), np.arange(3))
+    assert np.all(np.diff(model.thresholds) > 0)
+    best, by_score, by_t = quality.likelihood(v.reshape(200, 5) @ model.weights[:5], grades, np.ones(200), model.thresholds)
+    assert np.abs(v.reshape(200, 5).T @ by_score).max() < 0.5 and np.abs(by_t).max() < 0.5
+    text = " ".join(f"w{k % 9000}" for k in range(20_000)).encode()
+    [(at, values)] = quality.vectors(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    weights = r.random(1 << quality.BITS)
+    whole = np.zeros(1 << quality.BITS)
+    np.add.at(whole, at, values)
+    assert np.isclose(whole @ weights, values @ weights[at]) and len(at) > 5_000
+
+
+def test_lines_depend_on_fingerprints(spark):
+    """Windows whose fingerprint one position alone has go before contents are compared."""
+    own = ["\n".join(prose(20, 100 * k + j) for j in range(6)) for k in range(10)]
+    passage = "\n".join(prose(30, 900 + j) for j in range(2))
+    df = docs_of(spark, [*own, own[0] + "\n" + passage, passage + "\n" + own[1]])
+    found = linededup.windows(df)
+    left = linededup.matched(found)
+    assert {r.line_doc for r in left.select("line_doc").distinct().collect()} == {0, 1, 10, 11}
+    assert 0 < left.count() < found.count()
+    n = found.groupBy("fingerprint").agg(F.countDistinct("line_doc", "line_text", "at").alias("n")).where("n > 1").count()
+    assert left.select("fingerprint").distinct().count() == n
+
+
+def test_parts_of_grams_are_stages(spark):
+    """No plan holds more than one part of the grams, and all ways to deal them give the same."""
+    items = spark.createDataFrame([(k, prose(40, k)) for k in range(6)], "item_id long, text string")
+    df = docs_of(spark, [prose(5, 50) + " " + prose(40, k) + " " + prose(9, 60 + k) for k in range(8)])
+    want = sorted(decontam.contamination(df, items).collect())
+    for settings in ({"max_windows": 30}, {"max_bytes": 2_000}):
+        out = decontam.contamination(df, items, **settings)
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert sorted(out.collect()) == want
+        assert sorted(decontam.decontaminate(df, items, **settings).select("doc_id", "text").collect()) == sorted(decontam.decontaminate(df, items).select("doc_id", "text").collect())
+
+
+def test_html_of_odd_pages(spark):
+    """Very long pages, repeated ids and nulls; importance of a repeated box, counted by hand, is below the threshold."""
+    long = "<article>" + "".join(f"<p>{prose(10, k)}</p>" for k in range(2_000)) + "</article>"
+    rows = [(1, "http://a/x", long), (1, "http://a/x", long), (None, None, "<p>x"), (2, "http://b/", None)]
+    rows += [(10 + k, "http://c/", f"<div class=w>by Ann</div><div class=t>{prose(9, k)}</div>") for k in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = htmltext.extract(df).collect()
+    assert len(out) == 14 and {r.text for r in out if r.page_id == 1} == {" ".join(prose(10, k) for k in range(2_000))}
+    assert {r.page_id: r.text for r in out}[None] == "x" and {r.page_id: r.text for r in out}[2] == ""
+    tree = htmltext.style_tree(df.withColumn("host", htmltext.host_of(F.col("url")))).collect()
+    assert [(r.n, r.n_pages, r.importance) for r in tree] == [(10.0, 10.0, 0.0)]
+    assert all(r.text == prose(9, r.page_id - 10) for r in out if (r.page_id or 0) >= 10)

@@ -43,3 +43,18 @@ def test_pipeline(spark):
     assert set(seen["near_dups"]) <= set(seen["lines"]) and set(seen["leaks"]) == set(seen["near_dups"])
     last = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in last} == set(seen["leaks"]) and all(r.lossless for r in last)
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Nulls, empty texts, repeated rows and an empty table go through every stage but the first, which needs labels."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, "en", "s", None), (2, "", "en", "s", 0), (3, "a b c d e f g", "en", "s", 13), (3, "a b c d e f g", "en", "s", 13), (4, "a b c d e f g", None, None, 13), (None, "x", "en", "s", 1)]
+    for data, ids in ((rows, [1, 2, 3, None]), ([], [])):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF)
+            if name != "pieces":
+                assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+                docs = spark.createDataFrame(docs.collect(), schema)
+        assert sorted((r.doc_id or 0) for r in docs.collect()) == sorted(i or 0 for i in ids)
+        assert all(r.lossless for r in docs.collect())
