@@ -79,13 +79,16 @@ FROM (SELECT doc_id, m, i, v, CAST(coalesce(list_sum(list_transform(g[1:i], lamb
 WHERE len(v[i]) >= {least}"""
 
 
+_MORE = {r.kind: (k, r.pattern, r.least) for k, r in enumerate(secrets.RULES) if not r.base}
+_COUNTED = ", ".join(f"count(*) FILTER (place = {k}) AS n_{kind}" for kind, (k, _, _) in _MORE.items())
 ORACLE["op5_secrets"] = f"""
 WITH s AS ({_spans_sql("assign", 0, _ASSIGN, 2, 6)} UNION ALL {_spans_sql("access", 1, "AKIA[A-Z0-9]+", 0, 20)}
-UNION ALL {_spans_sql("hex", 2, "[0-9a-f]{24,}", 0, 24)}),
-a AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+UNION ALL {_spans_sql("hex", 2, "[0-9a-f]{24,}", 0, 24)} UNION ALL {" UNION ALL ".join(_spans_sql(kind, k, pattern, 0, least) for kind, (k, pattern, least) in _MORE.items())}),
+a AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex, {_COUNTED},
+             string_agg(kind || ':' || begins || ':' || upto, ',' ORDER BY begins, place) FILTER (place < 3) AS base,
              string_agg(kind || ':' || begins || ':' || upto, ',' ORDER BY begins, place) AS spans FROM s GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _MORE)}
 FROM documents LEFT JOIN a USING (doc_id)
 """
 

@@ -41,17 +41,25 @@ class Rule:
     ignore_case: bool = False
     #: A regex that any text with a span matches; cheaper than taking the text apart.
     guard: str | None = None
+    #: Whether its spans count for base_sha256.
+    base: bool = True
 
     @property
     def regex(self) -> str:
         return ("(?i)" if self.ignore_case else "") + self.pattern
 
 
-#: The patterns and least lengths of the three base kinds.
+#: The patterns and least lengths of the three base kinds come first.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24, guard=r"[0-9a-f]{24}"),
+    # of well-known forms, beyond the base
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, base=False),
+    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, base=False),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15, base=False),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, base=False),
+    Rule("login", r"://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@", 0, 0, base=False),
 )
 
 
@@ -72,7 +80,7 @@ def _strings(node) -> set[str] | None:
                 chars.update(map(chr, range(v[0], v[1] + 1)))
             else:
                 return None
-        return chars if len(chars) <= 4 else None
+        return chars if len(chars) <= 8 else None
     if op is sre.SUBPATTERN:
         return _all_strings(value[-1])
     if op is sre.BRANCH:
@@ -166,15 +174,30 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], block_rows: int = BLOCK
 # ---------------------------------------------------------------- spans
 
 
-def _spans(rule: Rule, order: int, wanted: Column) -> Column:
-    """The rule's spans as an array of (start, order, kind, end); empty where it isn't wanted."""
+_SPANS = "array<struct<start:bigint,place:int,kind:string,end:bigint>>"
+
+
+def _matches(rule: Rule, wanted: Column) -> Column:
+    """Length of the text before each match, of the match, and of its group; null where it isn't wanted."""
     text, regex = F.col("text"), F.lit(rule.regex)
-    kind = "array<struct<start:bigint,place:int,kind:string,end:bigint>>"
     gaps = F.split(text, rule.regex, -1)
     found = F.regexp_extract_all(text, regex, F.lit(0))
     valued = F.regexp_extract_all(text, regex, F.lit(rule.group))
     each = F.arrays_zip(F.transform(gaps, F.char_length).alias("gap"), F.transform(found, F.char_length).alias("n"), F.transform(valued, F.char_length).alias("v"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
+    if rule.guard:
+        wanted = wanted & text.rlike(rule.guard)
+    return F.when(wanted, each)
+
+
+def _spans(rule: Rule, order: int, each: Column) -> Column:
+    """The rule's spans as an array of (start, order, kind, end), from its matches.
+
+    Arrays are appended to in runs as long as the root of their number, so that a text with very many matches costs their
+    number times that root, not its square.
+    """
+    width = F.ceil(F.sqrt(F.size(each))).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(each) / width).cast("int") - 1), lambda r: F.slice(each, r * width + 1, width))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         begin = s["at"] + x["gap"]
@@ -183,24 +206,37 @@ def _spans(rule: Rule, order: int, wanted: Column) -> Column:
         out = F.when(x["v"] >= rule.least, F.concat(s["out"], F.array(span))).otherwise(s["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    if rule.guard:
-        wanted = wanted & text.rlike(rule.guard)
-    return F.when(wanted, F.aggregate(each, start, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
+    begun = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+
+    def moved(s: Column, run: Column) -> Column:
+        spans = F.transform(run["out"], lambda x: F.struct((x["start"] + s["at"]).alias("start"), x["place"].alias("place"), x["kind"].alias("kind"), (x["end"] + s["at"]).alias("end")))
+        return F.struct((s["at"] + run["at"]).alias("at"), F.concat(s["out"], F.array(spans)).alias("out"))
+
+    found = F.flatten(F.aggregate(F.transform(runs, lambda r: F.aggregate(r, start, step)), begun, moved)["out"])
+    return F.when(each.isNotNull(), found).otherwise(F.array().cast(_SPANS))
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, a column n_<kind> of counts for each rule, base_sha256 and spans of every row of docs(doc_id, text)."""
+    """doc_id, counts, base_sha256 and spans of every row of docs(doc_id, text).
+
+    Counts are columns n_<kind>, those of rules beyond the base last; base_sha256 is of the base rules' spans alone.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = cut(candidates(rows, rules, block_rows)).select(F.col("doc_id").alias("found_id"), "kinds")
     few = found.count() <= MAX_BROADCAST_ROWS
     rows = rows.join(F.broadcast(found) if few else found, F.col("doc_id") == F.col("found_id"), "left")
     each = []
-    for order, rule in enumerate(rules):
+    for rule in rules:
         indexed = bool(trigram_query(rule.pattern))
         allowed = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) | F.col("doc_id").isNull()
-        each.append(_spans(rule, order, allowed if indexed else F.lit(True)).alias(f"at_{rule.kind}"))
+        each.append(_matches(rule, allowed if indexed else F.lit(True)).alias(f"m_{rule.kind}"))
     rows = rows.select("doc_id", *each)
-    spans = F.array_sort(F.concat(*[f"at_{r.kind}" for r in rules]))
-    named = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    rows = rows.select("doc_id", *[F.size(f"at_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in rules], named.alias("spans"))
-    return rows.select("doc_id", *[f"n_{r.kind}" for r in rules], F.sha2("spans", 256).alias("base_sha256"), "spans")
+    rows = rows.select("doc_id", *[_spans(rule, order, F.col(f"m_{rule.kind}")).alias(f"at_{rule.kind}") for order, rule in enumerate(rules)])
+
+    def named(some: list[Rule]) -> Column:
+        spans = F.array_sort(F.concat(F.array().cast(_SPANS), *[F.col(f"at_{r.kind}") for r in some]))
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base, more = [r for r in rules if r.base], [r for r in rules if not r.base]
+    counts = {r.kind: F.size(f"at_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in rules}
+    return rows.select("doc_id", *[counts[r.kind] for r in base], F.sha2(named(base), 256).alias("base_sha256"), named(list(rules)).alias("spans"), *[counts[r.kind] for r in more])

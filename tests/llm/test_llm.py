@@ -784,3 +784,20 @@ def test_html_of_odd_pages(spark):
     tree = htmltext.style_tree(df.withColumn("host", htmltext.host_of(F.col("url")))).collect()
     assert [(r.n, r.n_pages, r.importance) for r in tree] == [(10.0, 10.0, 0.0)]
     assert all(r.text == prose(9, r.page_id - 10) for r in out if (r.page_id or 0) >= 10)
+
+
+def test_secrets_beyond_the_base(spark):
+    """Rules of well-known forms, against plain regexes; the digest stays that of the base spans. Very many matches in one text."""
+    texts = [
+        "x -----BEGIN RSA PRIVATE KEY----- y", "ghp_" + "aB3" * 13 + " ghx_" + "a" * 40, "🙂 xoxb-12345-abcdefg xoxq-123456789", "eyJhbGciOi.eyJzdWIiOiIx.sig_na-ture12345 eyJ.eyJ.x",
+        "postgres://user:pw@host/db http://host:80/x", "token=" + "ab12" * 10 + " ftp://a:b@c", "é AKIA" + "A" * 16 + " " + "f" * 24 + " password: secret1 " * 400, None,
+    ]
+    got = rows_of(secrets.find_secrets(docs_of(spark, texts)))
+    for i, text in enumerate(texts):
+        found = [(m.start(), k, r.kind, m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.regex, text or "", re.A) if len(m[r.group]) >= r.least]
+        want = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
+        assert got[i].spans == want
+        assert got[i].base_sha256 == hashlib.sha256(brute_secrets(text).encode()).hexdigest()
+        assert {r.kind: got[i][f"n_{r.kind}"] for r in secrets.RULES} == {r.kind: sum(f[2] == r.kind for f in found) for r in secrets.RULES}
+    assert [got[i][n] for i, n in enumerate(["n_pem", "n_code_host", "n_chat", "n_web_token", "n_login"])] == [1] * 5
+    assert secrets.trigram_query("[0-9a-f]+") == [] and all(secrets.trigram_query(r.pattern) for r in secrets.RULES if r.kind != "hex")
