@@ -13,8 +13,9 @@ The way to whole results without pairs of all members of a group:
 3. In each bucket one class leads, the one that most others meet, and each class proposes the leader that it
    shares most buckets with. Proposals are verified and true links joined into components.
 4. Buckets whose members are all of one component are done. The classes in the others are held against each
-   other, pair by pair of different components that share two half bands, in cells of bounded size. So no link
-   between components is missed, whatever the size of a bucket.
+   other, pair by pair of different components that share two half bands, in cells of bounded size, where sizes allow a
+   link. Members of the largest component of a half band aren't held against each other. So no link between components is
+   missed, whatever the size of a bucket.
 
 Pairs are verified in two exact steps. A bitmap of each set, in which a member flips one of 2048 bits, bounds the
 difference of two sets from below and drops most pairs that aren't links; on the rest full sets are compared.
@@ -27,6 +28,8 @@ empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -244,22 +247,48 @@ def _open(buckets: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(open_, "key", "left_semi").select("id", "component").distinct()
 
 
+def _size_class(n: Column, percent: int) -> Column:
+    """Sets of classes that are more than one apart differ too much in size to be alike."""
+    return F.floor(F.ln(n) / math.log(1.001 * 100 / percent)).cast("int")
+
+
 def _cells(members: DataFrame, bands: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share two half bands and may be alike, formed in cells of about CELL by CELL rows, each pair once."""
-    each = members.join(bands, "id").join(signed, "id")
-    rows = each.select("*", F.explode("bands").alias("band"))
-    size = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(size, "band").withColumn("blocks", F.ceil(F.col("n") / CELL).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumns({"p": F.least("block", "with"), "q": F.greatest("block", "with")})
+    """Pairs of different components that share two half bands and may be alike, formed in cells of about CELL by CELL rows, each pair once.
+
+    Half bands of one component are left out. In each of the others the members fall into groups, by the class of their size
+    and by whether they are of the component that most of its members are of. Groups of classes that are
+    one apart at most meet, but not two of that component; so a large group of copies is copied as often as others need it.
+    """
+    each = members.join(bands, "id").join(signed, "id").withColumn("k", _size_class(F.col("n_shingles"), percent))
+    narrow = each.select("component", "k", F.explode("bands").alias("band"))
+    counts = narrow.groupBy("band", "component", "k").agg(F.count("*").alias("n"))
+    main = counts.groupBy("band", "component").agg(F.sum("n").alias("n")).groupBy("band").agg(F.max(F.struct("n", "component")).getField("component").alias("main"), F.count("*").alias("several"))
+    main = cut(main.where("several > 1").drop("several"))
+    group = (2 * F.col("k") + (F.col("component") != F.col("main")).cast("int")).alias("g")
+    sizes = counts.join(main, "band").groupBy("band", "main", group).agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks"))
+    sizes = cut(sizes.groupBy("band", "main").agg(F.map_from_entries(F.collect_list(F.struct("g", "blocks"))).alias("blocks")))
+    rows = each.select("*", F.explode("bands").alias("band")).join(sizes, "band").withColumn("g", group)
+    own = F.try_element_at("blocks", F.col("g"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), own).cast("int"))
+    g, i = F.col("g"), F.col("block")
+
+    def n_blocks(other: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.col("blocks"), other), F.lit(0))
+
+    near = F.filter(F.sequence(2 * F.col("k") - 2, 2 * F.col("k") + 3), lambda o: (n_blocks(o) > 0) & ((g % 2 == 1) | (F.pmod(o, F.lit(2)) == 1)))
+
+    def cell(a: Column, p: Column, b: Column, q: Column) -> Column:
+        return F.struct(a.alias("a"), p.alias("p"), b.alias("b"), q.alias("q"))
+
+    first = F.transform(F.filter(near, lambda o: o >= g), lambda o: F.transform(F.sequence(F.when(o == g, i).otherwise(0), n_blocks(o) - 1), lambda j: cell(g, i, o, j)))
+    second = F.transform(F.filter(near, lambda o: o <= g), lambda o: F.transform(F.sequence(F.lit(0), F.when(o == g, i).otherwise(n_blocks(o) - 1)), lambda j: cell(o, j, g, i)))
     fields = ("id", "component", "bands", "n_shingles", "bitmap")
-    left, right = (spread.where(f"block = {x}").select("band", "p", "q", *[F.col(c).alias(f"{c}_{y}") for c in fields]) for x, y in (("p", "u"), ("q", "v")))
-    apart = F.expr("component_u <> component_v and (p <> q or id_u < id_v)")
+    left, right = (rows.select("band", F.explode(F.flatten(x)).alias("cell"), *[F.col(c).alias(f"{c}_{y}") for c in fields]).select("band", "cell.*", *[f"{c}_{y}" for c in fields]) for x, y in ((first, "u"), (second, "v")))
+    apart = F.expr("component_u <> component_v and (a <> b or p <> q or id_u < id_v)")
     alike = _may_be_alike(*[F.col(f"{c}_{y}") for c in ("n_shingles", "bitmap") for y in ("u", "v")], percent)
     common = F.array_intersect("bands_u", "bands_v")
     once = (F.col("band") == F.get(common, F.lit(0))) & (F.size(common) > 1)
-    pairs = left.join(right, ["band", "p", "q"]).where(apart & alike & once)
+    pairs = left.join(right, ["band", "a", "p", "b", "q"]).where(apart & alike & once)
     return pairs.select(F.greatest("id_u", "id_v").alias("u"), F.least("id_u", "id_v").alias("v")).distinct()
 
 

@@ -801,3 +801,27 @@ def test_secrets_beyond_the_base(spark):
         assert {r.kind: got[i][f"n_{r.kind}"] for r in secrets.RULES} == {r.kind: sum(f[2] == r.kind for f in found) for r in secrets.RULES}
     assert [got[i][n] for i, n in enumerate(["n_pem", "n_code_host", "n_chat", "n_web_token", "n_login"])] == [1] * 5
     assert secrets.trigram_query("[0-9a-f]+") == [] and all(secrets.trigram_query(r.pattern) for r in secrets.RULES if r.kind != "hex")
+
+
+def test_minhash_cells_of_clusters(spark, monkeypatch):
+    """Clusters of near copies that share boilerplate, of many sizes: all links between components, in several cells."""
+    monkeypatch.setattr(minhash, "CELL", 2)
+    boiler = prose(90, 500)
+    texts = []
+    for c in range(6):
+        body = prose(30 + 25 * c, 600 + c)
+        texts += [edited(f"{boiler} {body}", k % 3, 10 * c + k) for k in range(7)]
+    texts += [edited(boiler, k, 900 + k) for k in range(6)] + [f"{boiler} {boiler}", prose(7, 1)]
+    got = {i: (r.n_shingles, r.component_id, r.kept) for i, r in rows_of(minhash.near_duplicates(docs_of(spark, texts))).items()}
+    assert got == brute_components(enumerate(texts))
+    signed = minhash.signatures(docs_of(spark, texts)).where("n_shingles > 0").cache()
+    bands = minhash._shared_bands(signed.select(F.col("doc_id").alias("id"), "bands"))
+    members = bands.select("id", F.when(F.col("id") < 7, 0).otherwise(F.col("id")).alias("component"))
+    sets = {i: shingle_set(t) for i, t in enumerate(texts)}
+    held = {r.id: set(r.bands) for r in bands.collect()}
+    pairs = {(r.u, r.v) for r in minhash._cells(members, bands, signed.select(F.col("doc_id").alias("id"), "n_shingles", "bitmap"), 75).collect()}
+    assert all(u >= 7 for u, v in pairs)
+    for u in held:
+        for v in held:
+            if u > v and u >= 7 and 100 * len(sets[u] & sets[v]) >= 75 * len(sets[u] | sets[v]) and len(held[u] & held[v]) > 1:
+                assert (u, v) in pairs
