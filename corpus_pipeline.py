@@ -3,6 +3,11 @@
 toxicity rejects documents; lines deletes later copies of repeated runs of lines and keeps every row; near_dups keeps
 one document of each group; leaks cuts benchmark passages out and keeps every row; pieces cuts texts into
 sampled pieces, whose decoding gives the text back. All but the last return the columns of documents.
+
+Defined results: null and empty texts go through all stages (toxicity gives them the score of a text without features; they have
+no lines to repeat, no shingles, no test words and no pieces); of rows that are equal in doc_id and text one stays, by near_dups,
+if they have words, and all if they have none; rows with a null doc_id stay; of documents that tie, the smallest doc_id is the one that is
+kept. An empty table goes through as one.
 """
 
 from __future__ import annotations
