@@ -6,7 +6,7 @@ seeds. Documents in one bucket of the hash are grouped by the canonical bytes th
 collision would part; a text that collides with another gets its place among them as a suffix.
 
 Likeness of two fingerprints is 1 if they are the same and else 0: an exact digest knows
-no more.
+no more. For a text against its neighbour and its edited text, canonical forms count as the same if their SHA-256 is.
 
 Defined results: a null text counts as empty; equal texts have equal fingerprints, ties and
 repeated rows included. "Next" goes down in doc_id, null ids last, rows of one id in the order of
@@ -48,14 +48,21 @@ def digest(h1: Column, h2: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """h1, h2, canon_sha256, group_id (smallest doc_id), n_copies, place of canonical texts that several rows share or whose bucket others share."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.coalesce(F.col("text"), F.lit(""))).alias("canon"))
+def exact_groups(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """h1, h2, canon_sha256, group_id (smallest doc_id), n_copies, place of canonical texts that several rows share or whose bucket others share.
+
+    digests has h1, h2 and raw, a hash of the text as it is, of every row of docs; by raw the texts of buckets with
+    several rows are found without the canonical forms of all others.
+    """
+    by_raw = digests.groupBy("h1", "h2", "raw").agg(F.count("*").alias("n"))
+    several = by_raw.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1")
+    shared = cut(by_raw.join(several, ["h1", "h2"], "left_semi").select("raw").distinct())
+    few = shared.count() <= MAX_BROADCAST_BUCKETS
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("raw", F.xxhash64("text")).join(F.broadcast(shared) if few else shared, "raw", "left_semi")
+    rows = rows.select("doc_id", canonical(F.col("text")).alias("canon"))
     h1, h2 = _hashes(F.col("canon"))
     rows = rows.select("doc_id", "canon", h1.alias("h1"), h2.alias("h2"))
-    shared = cut(rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"))
-    few = shared.count() <= MAX_BROADCAST_BUCKETS
-    rows = rows.join(F.broadcast(shared) if few else shared, ["h1", "h2"], "left_semi")
     same = rows.groupBy("h1", "h2", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
     same = same.select("h1", "h2", F.sha2("canon", 256).alias("canon_sha256"), "group_id", "n_copies")
     order = Window.partitionBy("h1", "h2").orderBy("canon_sha256")
@@ -63,11 +70,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: a null text is empty; the next row goes down in doc_id, from the last to the first.
+    """doc_id, text, h1, h2, canon_sha256, next_text, next_sha256: a null text is empty; the next row goes down in doc_id, from the last to the first.
 
     Rows are sorted in ranges of doc_id whose edges are ids of the table. Rows at the upper
     edge of a range also go to the range above, to stand behind its last row; so each
-    text is shuffled once and no task holds more than a range.
+    text is shuffled once and no task holds more than a range. Hashes of the canonical form go
+    along, so that it is made once for a text and not again for its neighbour.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = min(MAX_RANGES, docs.count() // RANGE_ROWS + 1)
@@ -100,9 +108,14 @@ def with_next(docs: DataFrame) -> DataFrame:
         ),
         lambda p: p.isNotNull(),
     )
-    rows = rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.range", "p.role")
+    h1, h2 = _hashes(F.col("canon"))
+    rows = rows.withColumn("canon", canonical(F.col("text")))
+    rows = rows.select("doc_id", "text", "range", h1.alias("h1"), h2.alias("h2"), F.sha2("canon", 256).alias("canon_sha256"))
+    kept = ["doc_id", "text", "h1", "h2", "canon_sha256"]
+    rows = rows.select(*kept, F.explode(places).alias("p")).select(*kept, "p.range", "p.role")
     order = Window.partitionBy("range").orderBy(F.col("role") == 2, F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    return rows.withColumn("next_text", F.lead("text").over(order)).where("role = 0").select("doc_id", "text", "next_text")
+    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sha256", F.lead("canon_sha256").over(order))
+    return rows.where("role = 0").select(*kept, "next_text", "next_sha256")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -116,20 +129,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited)
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[canonical(F.col(c)).alias(c) for c in ("text", "edited", "next_text")])
-    (a, b), (c, d) = _hashes(F.col("text")), _hashes(F.col("edited"))
-    rows = rows.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        a.alias("h1"),
-        b.alias("h2"),
-        F.sha2("text", 256).alias("canon_sha256"),
-        digest(c, d).alias("edited_fingerprint"),
-        (F.col("text") == F.col("edited")).cast("double").alias("near_edited"),
-        (F.col("text") == F.col("next_text")).cast("double").alias("near_next"),
+    kept = ["doc_id", "n_chars", "h1", "h2", "canon_sha256", "next_sha256"]
+    rows = rows.select(*kept, F.xxhash64("text").alias("raw"), F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("edited")).alias("edited"))
+    c, d = _hashes(F.col("edited"))
+    rows = rows.select(*kept, "raw", "edited_sha256", c.alias("c"), d.alias("d"), F.sha2("edited", 256).alias("new_sha256"))
+    digests = cut(
+        rows.select(
+            "doc_id",
+            "n_chars",
+            "edited_sha256",
+            "h1",
+            "h2",
+            "canon_sha256",
+            "raw",
+            digest(F.col("c"), F.col("d")).alias("edited_fingerprint"),
+            (F.col("canon_sha256") == F.col("new_sha256")).cast("double").alias("near_edited"),
+            (F.col("canon_sha256") == F.col("next_sha256")).cast("double").alias("near_next"),
+        )
     )
-    out = rows.join(exact_groups(docs), ["h1", "h2", "canon_sha256"], "left")
+    out = digests.join(exact_groups(docs, digests), ["h1", "h2", "canon_sha256"], "left")
     suffix = F.when(F.col("place") > 0, F.concat(F.lit("-"), F.col("place").cast("string"))).otherwise("")
     return out.select(
         "doc_id",
