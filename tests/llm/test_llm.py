@@ -636,6 +636,34 @@ def test_pieces_do_not_depend_on_what_was_met(monkeypatch):
     assert [x.tolist() for x in pieces.Lattice(pieces.default_model(), 1.0).sample(texts, keys)] == want
 
 
+def test_pieces_share_beginnings():
+    """Words that begin alike keep their common sums once, and a word's are the same to the last bit with any others around it."""
+    stem = "unbelievablyñ🙂"
+    words = [f" {stem}{k}" for k in range(300)] + [" " + stem, " x" * 3, "\n", "   ", "w" * 70_000]
+    many, counts = pieces.Lattice(pieces.default_model(), 1.0), []
+    many.learn(words)
+
+    def edges(lattice, word):
+        """Shares and pieces of the word's nodes, from its last one on."""
+        out, upto, left = {}, lattice.upto.all, [int(lattice.last.all[lattice.number[word]])]
+        while left:
+            node = left.pop()
+            if node and node not in out:
+                a, b = np.searchsorted(upto, [node << pieces.SHARE_BITS, (node + 1) << pieces.SHARE_BITS], "right").tolist()
+                out[node] = (upto[a:b] - np.uint64(node << pieces.SHARE_BITS)).tolist(), lattice.piece.all[a:b].tolist()
+                left += lattice.source.all[a:b].tolist()
+        return [out[k] for k in sorted(out)]
+
+    for w in [*words[:20], *words[300:304]]:
+        alone = pieces.Lattice(pieces.default_model(), 1.0)
+        alone.learn([w])
+        counts.append(alone.upto.n)
+        assert edges(many, w) == edges(alone, w)
+    stems = pieces.Lattice(pieces.default_model(), 1.0)
+    stems.learn(words[:300])
+    assert stems.upto.n < 300 * counts[0] / 4
+
+
 def odd_rows(spark, texts):
     """Rows with a repeated id, a null id, and ids of their own."""
     rows = docs_of(spark, texts)
