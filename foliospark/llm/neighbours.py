@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_LOWER_ONLY, BYTE_HASH, Words, bounded_batches, cut, give_back, list_array, mix, power_tables, ranges, text_chunks, tidied
+from .common import ALNUM_LOWER_ONLY, BYTE_HASH, Words, bounded_batches, cut, give_back, list_array, mix, power_tables, text_chunks, tidied
 
 EXAMPLES = 2_000
 NEIGHBOURS = 15
@@ -42,6 +42,8 @@ HEAD = 4
 PIVOTS = 32
 LONG_LISTS = 2_048
 QUERIES = 64
+#: Features of texts that wait for a search together, about.
+WAITING = 1 << 18
 #: More than the share by which sums of LONG_LISTS products of positive numbers in single precision can be off, twice.
 MARGIN = 4e-4
 #: Texts whose scores a worker keeps, for the next copy.
@@ -86,6 +88,42 @@ def _held_rows(wanted):
     return run
 
 
+class _Starts:
+    """Where the features with certain first bits begin in a sorted vocabulary of evenly spread hashes."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        bits = len(vocabulary).bit_length()
+        self.shift, self.below = 64 - bits, 1 << (bits - 1)
+        least = np.arange(-self.below, self.below, dtype=np.int64) << self.shift
+        self.start = np.minimum(np.searchsorted(vocabulary, least), len(vocabulary) - 1).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are in the vocabulary, and their places."""
+        at = self.start[(h >> self.shift) + self.below]
+        met = self.vocabulary[at]
+        equal = met == h
+        low = np.flatnonzero(met < h)
+        while len(low):
+            low = low[at[low] < len(self.vocabulary) - 1]
+            at[low] += 1
+            met, wanted = self.vocabulary[at[low]], h[low]
+            equal[low] = met == wanted
+            low = low[met < wanted]
+        hit = np.flatnonzero(equal)
+        return hit, at[hit].astype(np.int64)
+
+
+_STARTS: list[_Starts] = []
+
+
+def _starts(vocabulary: np.ndarray) -> _Starts:
+    """Kept for the vocabulary that was used last."""
+    if not _STARTS or _STARTS[0].vocabulary is not vocabulary:
+        _STARTS[:] = [_Starts(vocabulary)]
+    return _STARTS[0]
+
+
 def _vectors(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray):
     """(places in the vocabulary, counts) of each text."""
     rows = len(offsets) - 1
@@ -94,9 +132,8 @@ def _vectors(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray):
             yield np.zeros(0, np.int64), np.zeros(0, np.int64)
         return
     h, of = features(Words(data, offsets, ALNUM_LOWER_ONLY))
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    hit = vocabulary[at] == h
-    key, n = np.unique(of[hit] * len(vocabulary) + at[hit], return_counts=True)
+    hit, at = _starts(vocabulary).find(h)
+    key, n = np.unique(of[hit] * len(vocabulary) + at, return_counts=True)
     doc, f = np.divmod(key, len(vocabulary))
     edge = np.searchsorted(doc, np.arange(rows + 1))
     for a, b in zip(edge[:-1], edge[1:]):
@@ -150,7 +187,8 @@ class Index:
     tight. Long lists are kept by block, with the largest weight in each: a bound of what a block can add. Short lists,
     with hardly more postings than blocks, are read whole. A search adds up the short lists, looks into the blocks with the
     largest bounds, and then into all that can still change the nearest. What it finds so, in single precision, decides only
-    who is compared; cosines and their order come from the whole vectors in double precision.
+    who is compared; cosines and their order are in double precision, the short lists' sums and the products of the other
+    features.
     """
 
     def __init__(self, edge: np.ndarray, f: np.ndarray, n: np.ndarray, labels: np.ndarray, ids: np.ndarray, idf: np.ndarray):
@@ -182,7 +220,7 @@ class Index:
         self._lists()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "_tables", "_room", "place", "short")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("weight", "_tables", "_room", "place", "short", "places", "long_edge", "long_column", "long_weight")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -201,8 +239,12 @@ class Index:
         self.weight /= np.where(length > 0, length, 1)[row]
 
     def _lists(self) -> None:
-        """Places and weights of the short lists."""
-        self.place, self.short = self._places()[self._row()[self.posting]], self.weight[self.posting]
+        """Places and weights of the short lists, and what of each example's vector is in long ones."""
+        self.places = self._places()
+        self.place, self.short = self.places[self._row()[self.posting]], self.weight[self.posting]
+        column = self.column[self.f]
+        long = np.flatnonzero(column >= 0)
+        self.long_edge, self.long_column, self.long_weight = np.searchsorted(long, self.edge), column[long], self.weight[long]
 
     def _places(self) -> np.ndarray:
         place = np.empty(len(self.row), np.int32)
@@ -250,15 +292,18 @@ class Index:
         weights, most = self.tables
         blocks, size = len(weights), len(weights) * BLOCK
         vectors = [self.vector(f, n) for f, n in queries]
-        long = np.zeros((len(queries), self.n_long), np.float32)
-        scores = np.zeros((len(queries), size), np.float32)
+        wide = np.zeros((len(queries), self.n_long))
+        sums = np.zeros((len(queries), size))
         for i, ((f, _), q) in enumerate(zip(queries, vectors)):
             column = self.column[f]
-            long[i, column[column >= 0]] = q[column >= 0]
-            f, q = f[column < 0], q[column < 0]
+            common = column >= 0
+            wide[i, column[common]] = q[common]
+            f, q = f[~common], q[~common]
             n = self.first[f + 1] - self.first[f]
-            at = np.repeat(self.first[f], n) + ranges(n)
-            scores[i] = np.bincount(self.place[at], np.repeat(q, n) * self.short[at], size)
+            end = np.cumsum(n)
+            at = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.first[f] - end + n, n)
+            sums[i] = np.bincount(self.place[at], np.repeat(q, n) * self.short[at], size)
+        long, scores = wide.astype(np.float32), sums.astype(np.float32)
         bound = long @ most + scores.reshape(len(queries), blocks, BLOCK).max(2)
         scored = np.zeros((len(queries), blocks), bool)
         left = scores.reshape(len(queries), blocks, BLOCK)
@@ -287,15 +332,16 @@ class Index:
         kth = least()
         for i, at in hidden:
             scores[i, at] = 0
-        return [self._compared(f, q, np.flatnonzero(np.repeat(scored[i], BLOCK) & (scores[i] > 0) & (scores[i] >= kth[i] * (1 - MARGIN))), k) for i, ((f, _), q) in enumerate(zip(queries, vectors))]
+        wanted = np.repeat(scored, BLOCK, axis=1) & (scores > 0) & (scores >= kth[:, None] * (1 - MARGIN))
+        return [self._compared(wide[i], sums[i], np.flatnonzero(wanted[i]), k) for i in range(len(queries))]
 
-    def _compared(self, f: np.ndarray, q: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _compared(self, wide: np.ndarray, sums: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of the examples at some places, from a query's weights in the long lists and its sums over the short ones."""
         rows = self.row[places]
         of, back = np.unique(self.same[rows], return_inverse=True)
-        self._spread(f, q)
-        ranges_ = zip(self.edge[of].tolist(), self.edge[of + 1].tolist())
-        cosine = np.array([self._room[self.f[a:b]] @ self.weight[a:b] for a, b in ranges_], np.float64)[back]
-        self._room[f] = 0
+        ranges_ = zip(self.long_edge[of].tolist(), self.long_edge[of + 1].tolist())
+        product = np.array([wide[self.long_column[a:b]] @ self.long_weight[a:b] for a, b in ranges_], np.float64)
+        cosine = (sums[self.places[of]] + product)[back]
         top = np.lexsort((rows, -np.round(cosine, 12)))[:k]
         return rows[top], cosine[top]
 
@@ -353,16 +399,29 @@ class Model:
         return [self.known[key] for key in keys]
 
 
+def _judged(model: Model, column: pa.Array):
+    """Score and nearest examples of each text, as many as a search takes at once."""
+    waiting: list[tuple] = []
+    held = 0
+    for _, _, data, offsets in text_chunks(column):
+        for vector in _vectors(data, offsets, model.vocabulary):
+            waiting.append(vector)
+            held += len(vector[0])
+            if len(waiting) == QUERIES or held > WAITING:
+                yield from model.scores(waiting)
+                waiting, held = [], 0
+    yield from model.scores(waiting)
+
+
 def _score_rows(held):
     def run(batches):
         model: Model = held.value
         for batch in batches:
             scores, evidence, sizes = [], [], []
-            for row, end, data, offsets in text_chunks(batch.column(1)):
-                for s, best in model.scores(list(_vectors(data, offsets, model.vocabulary))):
-                    scores.append(s)
-                    evidence.append(model.index.ids[best[:3]])
-                    sizes.append(len(evidence[-1]))
+            for s, best in _judged(model, batch.column(1)):
+                scores.append(s)
+                evidence.append(model.index.ids[best[:3]])
+                sizes.append(len(evidence[-1]))
             if scores:
                 flat = np.concatenate([np.zeros(0, np.int64), *evidence]).astype(np.int64)
                 columns = [pa.array(scores, pa.float64()), list_array(flat, np.array(sizes), pa.int64())]
@@ -441,9 +500,7 @@ def _reject(held, at_text: int):
     def run(batches):
         model: Model = held.value
         for batch in batches:
-            keep = []
-            for _, _, data, offsets in text_chunks(batch.column(at_text)):
-                keep += [s < 0.5 for s, _ in model.scores(list(_vectors(data, offsets, model.vocabulary)))]
+            keep = [s < 0.5 for s, _ in _judged(model, batch.column(at_text))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run

@@ -10,6 +10,7 @@ import zlib
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -376,6 +377,33 @@ def test_nearest_is_exact():
         assert best.tolist() == want and np.allclose(got, cosine[want])
 
 
+def test_places_in_a_vocabulary():
+    r = np.random.default_rng(5)
+    for size in (1, 2, 3, 1000):
+        vocabulary = np.unique(np.append(r.integers(-(2**63), 2**63 - 1, size, endpoint=True)[1:], [-(2**63), 2**63 - 1][size % 2]))
+        h = np.concatenate([vocabulary, vocabulary[::-1], r.integers(-(2**63), 2**63 - 1, 500), [-(2**63), -1, 0, 2**63 - 1]])
+        hit, at = neighbours._starts(vocabulary).find(h)
+        assert hit.tolist() == np.flatnonzero(np.isin(h, vocabulary)).tolist()
+        assert at.tolist() == np.searchsorted(vocabulary, h[hit]).tolist()
+
+
+def test_searches_are_full(monkeypatch):
+    """Texts of a batch are searched for QUERIES at a time, over the slices that they are read in; order and results stay."""
+    texts = [prose(1500, k) for k in range(2 * neighbours.QUERIES)] + [None, ""]
+    column = pa.array(texts)
+    w = [h for _, _, d, o in neighbours.text_chunks(column) for h in [neighbours.features(neighbours.Words(d, o, neighbours.ALNUM_LOWER_ONLY))[0]]]
+    vocabulary = np.unique(np.concatenate(w))
+    rows = [v for _, _, d, o in neighbours.text_chunks(column) for v in neighbours._vectors(d, o, vocabulary)]
+    index = neighbours.build_index(rows[:40], np.arange(40.0) % 2, np.arange(40), np.ones(len(vocabulary)))
+    model = neighbours.Model(vocabulary, index, np.array([-1.0, 0.0]), np.array([0.0, 1.0]), 5)
+    want = [index.nearest(f, n, 5)[0][:3].tolist() for f, n in rows]
+    held, calls, many = type("Held", (), {"value": model}), [], index.nearest_many
+    monkeypatch.setattr(index, "nearest_many", lambda queries, *a: calls.append(len(queries)) or many(queries, *a))
+    out = pa.Table.from_batches(neighbours._score_rows(held)([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), column], ["doc_id", "text"])]))
+    assert calls == [neighbours.QUERIES] * 2 + [1]
+    assert out["evidence"].to_pylist() == want and out["doc_id"].to_pylist() == list(range(len(texts)))
+
+
 def test_isotonic():
     starts, values = neighbours.isotonic(np.array([0, 1, 1, 2, 3.0]), np.array([0, 1, 0, 0.2, 1.0]), np.ones(5))
     assert np.all(np.diff(values) > 0) and values[0] == 0 and values[-1] == 1 and starts[0] == 0
